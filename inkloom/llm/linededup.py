@@ -53,8 +53,8 @@ def dedup_lines(docs: DataFrame, divisor: int = 4, key: str = "doc_id") -> DataF
     the document keeps.  The text of a document that loses all its lines is empty.
     """
     mark = F.struct(F.col(key).alias("k"), F.md5(F.col("text").cast("binary")).alias("m"))
-    parts = with_chunks(docs.select(key, "text"), divisor)
-    chunks = parts.select(mark.alias("_mark"), F.explode("_chunks").alias("c")).select(
+    parts = with_chunks(_held(docs.select(key, "text"), "_mark", mark), divisor)
+    chunks = parts.select("_mark", F.explode("_chunks").alias("c")).select(
         "_mark", F.col("c.start").alias("start"), F.col("c.n_lines").alias("n_lines"), F.xxhash64("c.body").alias("h"), F.col("c.body").alias("body")
     )
     repeated = chunks.groupBy("h").agg(F.min(F.struct("_mark", "start")).alias("lo"), F.max(F.struct("_mark", "start")).alias("hi")).where("lo < hi").select("h")
@@ -62,8 +62,8 @@ def dedup_lines(docs: DataFrame, divisor: int = 4, key: str = "doc_id") -> DataF
     first = suspects.groupBy("h", "body").agg(F.min(F.struct("_mark", "start")).alias("first"))
     extra = suspects.join(first, ["h", "body"]).where(F.struct("_mark", "start") > F.col("first"))
     removed = extra.groupBy("_mark").agg(F.collect_set(F.struct("start", "n_lines")).alias("_removed"))
-    marked = docs.withColumn("_mark", mark)
-    joined = marked.join(removed.withColumnRenamed("_mark", "_of"), F.col("_mark").eqNullSafe(F.col("_of")), "left")
+    marked = _held(docs, "_mark", mark)
+    joined = marked.join(removed.withColumnRenamed("_mark", "_of"), F.col("_mark") == F.col("_of"), "left")
     all_lines = F.split("text", "\n", -1)
     gone = F.array_distinct(F.flatten(F.transform("_removed", lambda r: F.sequence(r["start"], r["start"] + r["n_lines"] - 1))))
     kept = F.filter(all_lines, lambda line, i: ~F.array_contains(F.col("_gone"), i))

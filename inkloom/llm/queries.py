@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkloom.llm import encoding, langid, linededup, packing
+from inkloom.llm import encoding, jaccard, langid, linededup, packing
 from inkloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -33,7 +37,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op4_bpe, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op4_bpe, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
