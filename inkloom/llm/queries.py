@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkloom.llm import encoding, jaccard, langid, linededup, packing
+from inkloom.llm import encoding, jaccard, langid, linededup, metric, packing, vectors
 from inkloom.llm.common import table
 
 
@@ -24,10 +24,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.round_trip_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -37,8 +45,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op4_bpe, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_exact_top_k, op4_bpe, op8_near_vectors, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": linededup.dedup_sql()}
+    return {"op2_line_dedup": linededup.dedup_sql(), "op3_exact_top_k": metric.TOP_K_SQL, "op8_near_vectors": vectors.NEAR_SQL}
