@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkloom.llm import encoding, jaccard, langid, linededup, metric, packing, vectors
+from inkloom.llm import encoding, extraction, jaccard, langid, linededup, metric, packing, quality, vectors
 from inkloom.llm.common import table
 
 
@@ -32,6 +32,15 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.round_trip_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "text_score", "meta_score", "score", "accepted")
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -45,7 +54,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_exact_top_k, op4_bpe, op8_near_vectors, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_exact_top_k, op4_bpe, op5_quality, op6_main_text, op8_near_vectors, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
