@@ -63,9 +63,15 @@ class MergeAutomaton:
             self.made[w], self.left[w], after[w] = rank, a, target
             after[a] = len(self.copied) - 1
             ids[u + v] = w
-        self.longest: dict[str, int] = {}
+        self.longest: dict[str, int] = {}  # of labels that begin so
         for label in ids:
-            self.longest[label[:2]] = max(len(label), self.longest.get(label[:2], 1))
+            for n in (2, 3, 4):
+                self.longest[label[:n]] = max(len(label), self.longest.get(label[:n], 1))
+
+    def reach(self, word: str, at: int) -> int:
+        """No label that the word has at a place is longer."""
+        longest = self.longest
+        return longest.get(word[at : at + 4]) or min(3, longest.get(word[at : at + 3]) or min(2, longest.get(word[at : at + 2], 1)))
 
     def leads(self, state: int, token: int) -> bool:
         copied, lost, born, made, left = self.copied, self.lost, self.born, self.made, self.left
@@ -83,11 +89,11 @@ class MergeAutomaton:
         whole = ids.get(word)
         if whole is not None:
             return [whole]
-        arcs, longest, n = self.arcs, self.longest, len(word)
+        arcs, reach, n = self.arcs, self.reach, len(word)
         out: list[int] = []
         ends: list[int] = [0]
         state, at, dead = 0, 0, set()
-        size = min(n, longest.get(word[:2], 1))
+        size = min(n, reach(word, 0))
         while at < n:
             while size:
                 token = ids.get(word[at : at + size])
@@ -107,7 +113,7 @@ class MergeAutomaton:
                 at += size
                 ends.append(at)
                 state = follows
-                size = min(n - at, longest.get(word[at : at + 2], 1))
+                size = min(n - at, reach(word, at))
             else:
                 if not out:
                     raise ValueError(f"no encoding of {word!r}")
@@ -120,15 +126,18 @@ class MergeAutomaton:
 
 
 class Chunks(dict):
-    """Encodings of chunks, kept up to a number of entries."""
+    """Encodings of chunks: those used since the last change of generation, and before that one generation more."""
 
     def __init__(self, encode, most: int = 500_000):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.before = encode, most, {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        out = self.encode(chunk)
+    def __missing__(self, chunk) -> bytes:
+        out = self.before.get(chunk)
+        if out is None:
+            out = self.encode(chunk)
         if len(self) >= self.most:
+            self.before = dict(self)
             self.clear()
         if len(chunk) <= 256:
             self[chunk] = out
