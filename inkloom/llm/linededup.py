@@ -53,17 +53,20 @@ def dedup_lines(docs: DataFrame, divisor: int = 4, key: str = "doc_id") -> DataF
     the document keeps.  The text of a document that loses all its lines is empty.
     """
     mark = F.struct(F.col(key).alias("k"), F.md5(F.col("text").cast("binary")).alias("m"))
-    parts = with_chunks(_held(docs.select(key, "text"), "_mark", mark), divisor)
-    chunks = parts.select("_mark", F.explode("_chunks").alias("c")).select(
-        "_mark", F.col("c.start").alias("start"), F.col("c.n_lines").alias("n_lines"), F.xxhash64("c.body").alias("h"), F.col("c.body").alias("body")
-    )
+    marked = _held(docs, "_mark", mark)
+    parts = with_chunks(marked.select("_mark", "text"), divisor)
+    # only hashes and places are shuffled here; bodies follow for repeated hashes alone
+    chunks = parts.select("_mark", F.explode("_chunks").alias("c")).select("_mark", F.col("c.start").alias("start"), F.col("c.n_lines").alias("n_lines"), F.xxhash64("c.body").alias("h"))
     repeated = chunks.groupBy("h").agg(F.min(F.struct("_mark", "start")).alias("lo"), F.max(F.struct("_mark", "start")).alias("hi")).where("lo < hi").select("h")
-    suspects = chunks.join(repeated, "h")
-    first = suspects.groupBy("h", "body").agg(F.min(F.struct("_mark", "start")).alias("first"))
-    extra = suspects.join(first, ["h", "body"]).where(F.struct("_mark", "start") > F.col("first"))
+    suspects = chunks.join(repeated, "h").groupBy(F.col("_mark").alias("_of")).agg(F.collect_set(F.struct("start", "n_lines", "h")).alias("_suspects"))
+    held = marked.join(suspects, F.col("_mark") == F.col("_of"), "left").drop("_of")
+    lined = _held(held.where("_suspects IS NOT NULL"), "_lines", F.split("text", "\n", -1))
+    body = lambda c: F.struct(c["h"].alias("h"), c["start"].alias("start"), c["n_lines"].alias("n_lines"), F.array_join(F.slice("_lines", c["start"] + 1, c["n_lines"]), "\n").alias("body"))
+    bodies = lined.select("_mark", F.explode(F.transform("_suspects", body)).alias("c")).select("_mark", "c.*")
+    first = bodies.groupBy("h", "body").agg(F.min(F.struct("_mark", "start")).alias("first"))
+    extra = bodies.join(first, ["h", "body"]).where(F.struct("_mark", "start") > F.col("first"))
     removed = extra.groupBy("_mark").agg(F.collect_set(F.struct("start", "n_lines")).alias("_removed"))
-    marked = _held(docs, "_mark", mark)
-    joined = marked.join(removed.withColumnRenamed("_mark", "_of"), F.col("_mark") == F.col("_of"), "left")
+    joined = held.join(removed.withColumnRenamed("_mark", "_of"), F.col("_mark") == F.col("_of"), "left")
     all_lines = F.split("text", "\n", -1)
     gone = F.array_distinct(F.flatten(F.transform("_removed", lambda r: F.sequence(r["start"], r["start"] + r["n_lines"] - 1))))
     kept = F.filter(all_lines, lambda line, i: ~F.array_contains(F.col("_gone"), i))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkloom.llm import encoding, extraction, jaccard, langid, linededup, metric, packing, quality, vectors
+from inkloom.llm import encoding, extraction, jaccard, langid, linededup, lm, metric, packing, quality, vectors
 from inkloom.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.main_text(table(spark, sf_dir, "pages"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -54,7 +58,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_exact_top_k, op4_bpe, op5_quality, op6_main_text, op8_near_vectors, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_line_dedup, op3_exact_top_k, op4_bpe, op5_quality, op6_main_text, op7_language_model, op8_near_vectors, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
