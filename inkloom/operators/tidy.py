@@ -139,8 +139,9 @@ def heal_list_gaps(lines: DataFrame) -> DataFrame:
 
 
 def heal_hyphens(lines: DataFrame) -> DataFrame:
-    words = "|".join(rules.FUNCTION_WORDS)
-    return _changed(lines, sub(F.col("line"), rf"\b([A-Za-z]+)-\s+(?!(?:{words})(?!\w))([a-z][a-z]\w*)", "$1-$2"))
+    """A word and the end of it that a line break cut off are joined, unless a function word follows the hyphen."""
+    kept = rf"-\s+(?:{'|'.join(rules.FUNCTION_WORDS)})$"
+    return _changed(lines, rewrite(F.col("line"), r"\b[A-Za-z]+-\s+[a-z][a-z]\w*", lambda m: F.when(like(m, kept, "i"), m).otherwise(sub(m, r"-\s+", "-"))))
 
 
 def heal_sentences(lines: DataFrame) -> DataFrame:

@@ -38,6 +38,12 @@ def _fenced(marker: str = r"^\s*(```|~~~)", inclusive: bool = True) -> str:
     return f"(regexp_matches(line, '{marker}') OR {state})" if inclusive else state
 
 
+def _rewritten(pattern: str, change: str, x: str = "line") -> str:
+    """x with every match m of the pattern replaced by change, in DuckDB's lists."""
+    p = _q(pattern)
+    return f"array_to_string(list_transform(list_zip(string_split_regex({x}, '{p}'), list_append(list_transform(regexp_extract_all({x}, '{p}'), lambda m: {change}), '')), lambda z: z[1] || z[2]), '')"
+
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -96,7 +102,11 @@ n AS (SELECT *, last_value(shown IGNORE NULLS) OVER (PARTITION BY doc ORDER BY l
   first_value(shown IGNORE NULLS) OVER (PARTITION BY doc ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS b FROM i)
 SELECT doc, line_no, line FROM n WHERE NOT (shown IS NULL AND coalesce(regexp_matches(a, '{rules.LIST_ITEM}') AND regexp_matches(b, '{rules.LIST_ITEM}') AND regexp_extract(a, '{rules.LIST_ITEM}', 1) = regexp_extract(b, '{rules.LIST_ITEM}', 1), FALSE))"""
 add("heal_list_gaps", _pass(T.heal_list_gaps), GAPS)
-add("heal_hyphen_breaks", _pass(T.heal_hyphens))
+HYPHEN = r"([\p{L}\p{N}_]+)-\s+([a-z][a-z][\p{L}\p{N}_]*)"
+add(
+    "heal_hyphen_breaks", _pass(T.heal_hyphens),
+    _sql(_rewritten(HYPHEN, f"CASE WHEN regexp_full_match(regexp_extract(m, '{HYPHEN}', 1), '[A-Za-z]+') AND regexp_extract(m, '{HYPHEN}', 2) NOT IN {_in(rules.FUNCTION_WORDS)} THEN regexp_replace(m, '-\\s+', '-') ELSE m END")),
+)
 SENTENCE = f"""WITH {DUCK_LINES},
 f AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line_no) AS r FROM md),
 full_rows AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line_no) AS k, lead(line) OVER (PARTITION BY doc ORDER BY line_no) AS nx, lead(r) OVER (PARTITION BY doc ORDER BY line_no) AS nr FROM f WHERE trim(line) <> ''),
@@ -117,9 +127,21 @@ add(
     rf"""WITH {DUCK_LINES}, r AS (SELECT *, regexp_extract(line, '^(#+)\s+(\d.*)$', 1) AS marks, regexp_replace(trim(regexp_extract(line, '^(#+)\s+(\d.*)$', 2)), '[:：.]+$', '') AS rest FROM md WHERE NOT regexp_matches(line, '^#+\s+[^\p{{L}}\p{{N}}]+\s*$'))
 SELECT doc, line_no, {DIGIT} AS line FROM r""",
 )
-add("un_glue_compounds", _pass(T.unglue_compounds))
-add("heal_intra_word_spaces", _pass(T.heal_spaces))
-add("strip_emphasis_inner_space", _pass(T.strip_emphasis_space))
+WORDS = r"[\p{L}\p{N}_]+"
+GLUED = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in rules.GLUED.items()) + "}"
+GUARD = "('/', chr(92), '.')"
+add(
+    "un_glue_compounds", _pass(T.unglue_compounds),
+    f"""WITH {DUCK_LINES}, s AS (SELECT *, string_split_regex(line, '{WORDS}') AS ps, regexp_extract_all(line, '{WORDS}') AS ws FROM md),
+c AS (SELECT *, list_transform(ws, lambda w, i: CASE WHEN {GLUED}[w] IS NOT NULL AND right(ps[i], 1) NOT IN {GUARD} AND left(ps[i + 1], 1) NOT IN {GUARD} THEN {GLUED}[w] ELSE w END) AS vs FROM s)
+SELECT doc, line_no, array_to_string(list_transform(list_zip(ps, list_append(vs, '')), lambda z: z[1] || z[2]), '') AS line FROM c""",
+)
+spaces = "line"
+for wrong, right in rules.SPACE_FIXES.items():
+    spaces = f"regexp_replace({spaces}, '(^|[^\\p{{L}}\\p{{N}}_]){wrong}($|[^\\p{{L}}\\p{{N}}_])', '\\1{right}\\2', 'g')"
+add("heal_intra_word_spaces", _pass(T.heal_spaces), _sql(spaces))
+EMPHASIS = r"\*\*[^\n]+?\*\*|__[^\n]+?__"
+add("strip_emphasis_inner_space", _pass(T.strip_emphasis_space), _sql(_rewritten(EMPHASIS, "CASE WHEN trim(substr(m, 3, length(m) - 4)) = '' THEN m ELSE left(m, 2) || trim(substr(m, 3, length(m) - 4)) || right(m, 2) END")))
 seams = "line"
 for pattern, by in rules.ADJACENCY:
     seams = f"regexp_replace({seams}, '{_q(pattern)}', '\\1 \\2', 'g')"
@@ -130,8 +152,14 @@ add(
     _sql(rf"regexp_replace(regexp_replace(line, '\]\((?:\./)+([^):\s]+)\)', ']({rules.REL_BASE}\1)', 'g'), '(^|[^!])(\[[^\]]*\])\(([a-z]+/[^):\s]+)\)', '\1\2({rules.REL_BASE}\3)', 'g')"),
 )
 add("apply_corpus_fixes", _pass(T.corpus_fixes), _sql("regexp_replace(line, '(^|[^\\p{L}\\p{N}_])WellArchitected($|[^\\p{L}\\p{N}_])', '\\1Well-Architected\\2', 'g')"))
-add("wrap_aligned_math", _pass(T.wrap_aligned), f"WITH {DUCK_LINES}, f AS (SELECT *, {_fenced()} AS fenced FROM md) SELECT doc, line_no, CASE WHEN fenced THEN line ELSE replace(line, '$$a & b$$', '$$\\begin{{aligned}}a & b\\end{{aligned}}$$') END AS line FROM f")
-add("escape_prose_dollars", _pass(T.escape_dollars))
+def _free(change: str) -> str:
+    return f"WITH {DUCK_LINES}, f AS (SELECT *, {_fenced()} AS fenced FROM md) SELECT doc, line_no, CASE WHEN fenced THEN line ELSE {change} END AS line FROM f"
+
+
+BODY = "substr(m, 3, length(m) - 4)"
+ALIGNED = f"CASE WHEN (contains({BODY}, '&') OR contains({BODY}, chr(92) || chr(92))) AND NOT contains({BODY}, chr(92) || 'begin{{') THEN '$$' || chr(92) || 'begin{{aligned}}' || {BODY} || chr(92) || 'end{{aligned}}$$' ELSE m END"
+add("wrap_aligned_math", _pass(T.wrap_aligned), _free(_rewritten(r"\$\$.+?\$\$", ALIGNED)))
+add("escape_prose_dollars", _pass(T.escape_dollars), _free(_rewritten(r"\$\$.*?\$\$|`+[^`]*`+|\\\$|\$", "CASE WHEN m = '$' THEN chr(92) || '$' ELSE m END")))
 add("promote_numbered_chapters", _pass(T.number_chapters))
 add("tidy", lambda s, d: T.tidy(md_lines(s, d), math=True).select("doc", "line_no", "line"))
 add("tidy_generic", lambda s, d: T.tidy(md_lines(s, d), "generic").select("doc", "line_no", "line"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkloom.plans import queries_lines
+from inkloom.plans import queries_audit, queries_lines
 
-MODULES = [queries_lines]
+MODULES = [queries_lines, queries_audit]
 
 
 def queries() -> dict:
