@@ -60,7 +60,7 @@ class Facts(HTMLParser):
         self.aside -= tag in ASIDE and self.aside > 0
         self.main -= tag in ("article", "main") and self.main > 0
         for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
+            if self.open[i][0] == tag or tag in HEADINGS and self.open[i][0] in HEADINGS:
                 del self.open[i:]
                 break
 
