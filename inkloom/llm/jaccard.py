@@ -17,7 +17,11 @@ often as needed.  Of two partners the one that needs fewer seeds shares with the
 seed under which it misses nothing.  For each band the cheaper scheme is taken, by the
 rows that it makes and the pairs that its weak signatures are expected to bring.
 
-Candidates are verified on the words themselves.
+Classes that share a signature form a run, and runs with the same smallest class form a
+group: every pair to be found lies within a group.  A group is dealt into blocks, and each
+pair of blocks goes to one task, which counts the intersections of its sets through an
+inverted index, confirms links on the words themselves and returns links that span all
+those it found.  So neither pairs nor a whole group ever leave or enter a task.
 """
 
 from __future__ import annotations
@@ -37,8 +41,8 @@ from inkloom.llm.graph import components
 U64 = np.uint64
 #: Odd multipliers that mix words and shingles.
 WORD_STEP, MIX_A, MIX_B = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
-#: Runs of a signature up to this size give all their pairs at once.
-SMALL_RUN = 4
+#: Classes of a group that one task takes at once from either side.
+BLOCK = 1024
 MOST_SEEDS = 64
 
 
@@ -175,18 +179,19 @@ def signatures(shingles: np.ndarray, band_no: int, band: Band, percent: int) ->
 
 
 def describe(docs: DataFrame, n: int = 5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Set size and 128-bit fingerprint of every document's shingles (null for an empty set)."""
+    """Set size, 128-bit fingerprint and class number of every document's shingles (null for an empty set)."""
     kept = [f for f in docs.schema.fields if f.name in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_shingles bigint, print binary"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_shingles bigint, print binary, node bigint"])
 
     def run(batches):
         for b in arrow_slices(batches, "_text"):
-            sizes, prints = [], []
+            sizes, prints, nodes = [], [], []
             for t in texts_of(b.column("_text")):
                 s = shingle_hashes(t, n)
                 sizes.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())], names=[*(f.name for f in kept), "n_shingles", "print"])
+                nodes.append(class_number(prints[-1], {}) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(nodes, pa.int64())], names=[*(f.name for f in kept), "n_shingles", "print", "node"])
 
     return docs.select(*(f.name for f in kept), F.col("text").alias("_text")).mapInArrow(run, schema)
 
@@ -209,35 +214,65 @@ def bands_for(size: int, bands: list[Band], lows: np.ndarray, percent: int) -> r
     return range(first, last + 1)
 
 
-def candidate_runs(docs: DataFrame, bands: list[Band], rows: int, n: int, percent: int) -> DataFrame:
-    """Lists of documents that share a signature: (members array<bigint>), distinct within a bucket."""
+def class_number(fingerprint: bytes, moved: dict[bytes, int]) -> int:
+    """A class's number: the first 64 bits of its fingerprint, or what `moved` has for one whose bits another class has too."""
+    return moved[fingerprint] if fingerprint in moved else int.from_bytes(fingerprint[:8], "little", signed=True)
+
+
+def packed(nodes: np.ndarray, place: np.ndarray, sig: np.ndarray) -> bytes:
+    """Signatures of one bucket: the classes that have any, and for each signature the place of its class and its upper 40 bits.
+
+    Signatures that agree in these and in the bucket but differ otherwise only make a run that verification parts.
+    """
+    held, at = np.unique(place, return_inverse=True)
+    upper = sig >> U64(24)
+    wide = "<u2" if len(held) <= 65536 else "<u4"
+    return b"".join([np.array([len(held), len(sig)], "<u4").tobytes(), nodes[held].astype("<i8").tobytes(), at.astype(wide).tobytes(), (upper >> U64(8)).astype("<u4").tobytes(), (upper & U64(255)).astype("u1").tobytes()])
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures' upper bits and their classes."""
+    held, n = np.frombuffer(blob, "<u4", 2).tolist()
+    wide = np.dtype("<u2" if held <= 65536 else "<u4")
+    nodes = np.frombuffer(blob, "<i8", held, 8)
+    at = 8 + 8 * held
+    place = np.frombuffer(blob, wide, n, at)
+    high = np.frombuffer(blob, "<u4", n, at + wide.itemsize * n).astype("u8")
+    low = np.frombuffer(blob, "u1", n, at + (wide.itemsize + 4) * n)
+    return high << U64(8) | low, nodes[place]
+
+
+def candidate_runs(docs: DataFrame, bands: list[Band], rows: int, n: int, percent: int, moved: dict[bytes, int]) -> DataFrame:
+    """Lists of classes that share a signature: (members array<bigint>), distinct within a bucket."""
     spark = docs.sparkSession
-    buckets = max(4 * partitions(spark), rows // 1_000_000)
+    buckets = max(partitions(spark), rows // 2_000_000)
     lows = np.array([b.low for b in bands], "i8")
-    record = np.dtype([("sig", "<u8"), ("doc", "<i8")])
 
     def emit(batches):
-        for b in arrow_slices(batches, "text"):
-            sigs, owners = [], []
-            for doc, text in zip(b.column("node").to_pylist(), texts_of(b.column("text"))):
+        for b in arrow_slices(batches, "text", 32 << 20):
+            sigs, nodes = [], []
+            for text in texts_of(b.column("text")):
                 s = shingle_hashes(text, n)
                 if len(s):
-                    for k in bands_for(len(s), bands, lows, percent):
-                        sigs.append(signatures(s, k, bands[k], percent))
-                        owners.append(np.full(len(sigs[-1]), doc, "i8"))
+                    nodes.append(class_number(xxhash.xxh3_128_digest(s.tobytes()), moved))
+                    sigs.append(np.concatenate([signatures(s, k, bands[k], percent) for k in bands_for(len(s), bands, lows, percent)]))
             if not sigs:
                 continue
-            made = np.empty(sum(map(len, sigs)), record)
-            made["sig"], made["doc"] = np.concatenate(sigs), np.concatenate(owners)
-            bucket = (made["sig"] % U64(buckets)).astype("i4")
+            sig, place = np.concatenate(sigs), np.repeat(np.arange(len(sigs), dtype="u4"), [len(x) for x in sigs])
+            bucket = (sig % U64(buckets)).astype("i4")
             order = np.argsort(bucket, kind="stable")
-            made, bucket = made[order], bucket[order]
+            bucket = bucket[order]
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            blobs = [x.tobytes() for x in np.split(made, first[1:])]
+            own = np.array(nodes, "i8")
+            blobs = [packed(own, place[x], sig[x]) for x in np.split(order, first[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(blobs, pa.binary())], names=["bucket", "records"])
 
     def collide(part):
-        made = np.frombuffer(b"".join(part.column("records").to_pylist()), record)
+        record = np.dtype([("sig", "<u8"), ("doc", "<i8")])
+        read = [unpacked(x) for x in part.column("records").to_pylist()]
+        made = np.empty(sum(len(x) for x, _ in read), record)
+        made["sig"], made["doc"] = np.concatenate([x for x, _ in read]), np.concatenate([y for _, y in read])
+        del read
         made = np.unique(made)
         sig = made["sig"]
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
@@ -251,79 +286,111 @@ def candidate_runs(docs: DataFrame, bands: list[Band], rows: int, n: int, percen
                 lists.append(members)
         return pa.table({"members": pa.array(lists, pa.list_(pa.int64()))})
 
-    return docs.select("node", "text").mapInArrow(emit, "bucket int, records binary").groupBy("bucket").applyInArrow(collide, "members array<bigint>")
+    return docs.select("text").mapInArrow(emit, "bucket int, records binary").groupBy("bucket").applyInArrow(collide, "members array<bigint>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of documents (node, text) that reach the similarity, decided on the words."""
-    left = docs.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = docs.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+def spanning_links(texts: list[str], n: int, percent: int) -> list[tuple[int, int]]:
+    """Links between texts that span all of their links.
 
-    def run(batches):
-        last, mine = None, set()
-        for b in batches:
-            keep = []
-            for a, ta, tb in zip(b.column("a").to_pylist(), b.column("text_a"), b.column("text_b")):
-                if a != last:
-                    last, mine = a, shingle_set(ta.as_py(), n)
-                other = shingle_set(tb.as_py(), n)
-                both = len(mine & other)
-                keep.append(100 * both >= percent * (len(mine) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    A set of which more than the permitted share is found in no other set has no link.
+    Of the others, first the one whose shingles are most common is compared with all, then
+    in turn each that is not yet in its component: pairs within that component need no
+    comparison.
+    """
+    sets = [shingle_hashes(t, n) for t in texts]
+    sizes = np.array([len(s) for s in sets], "i8")
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shingle, met = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(met, minlength=len(shingle))
+    shared = np.bincount(owner[often[met] > 1], minlength=len(sets))
+    live = 100 * shared >= percent * sizes
+    if live.sum() < 2:
+        return []
+    kept = live[owner]
+    order = np.argsort(met[kept], kind="stable")
+    holders = owner[kept][order]
+    ends = np.cumsum(np.bincount(met[kept], minlength=len(shingle)))
+    begins = np.concatenate([[0], ends[:-1]])
+    first = np.cumsum(sizes) - sizes
+    root = np.arange(len(sets))
+    words: dict[int, set] = {}
+    out = []
+
+    def words_at(i: int) -> set:
+        if i not in words:
+            words[i] = shingle_set(texts[i], n)
+        return words[i]
+
+    weight = np.bincount(owner, often[met], len(sets)) / np.maximum(1, sizes)
+    turns = sorted(np.flatnonzero(live).tolist(), key=lambda i: (-weight[i], i))
+    for k, a in enumerate(turns):
+        if k and root[a] == root[turns[0]]:
+            continue
+        mine = met[first[a] : first[a] + sizes[a]]
+        both = np.bincount(np.concatenate([holders[x:y] for x, y in zip(begins[mine].tolist(), ends[mine].tolist())]), minlength=len(sets))
+        for b in np.flatnonzero(100 * both >= percent * (sizes[a] + sizes - both)).tolist():
+            if root[b] == root[a]:
+                continue
+            common = len(words_at(a) & words_at(b))
+            if 100 * common >= percent * (len(words_at(a)) + len(words_at(b)) - common):
+                out.append((a, b))
+                root[root == max(root[a], root[b])] = min(root[a], root[b])
+    return out
+
+
+def group_links(runs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b) of classes: links that span those of all groups of runs (members array<bigint>).
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    docs has doc_id, text and text_hash; the text of a class is that of its first document.
+    """
+    members = runs.select(F.col("members")[0].alias("group"), F.explode("members").alias("node")).distinct()
+    blocks = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = placed.select("group", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("group", "node", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    of = classes.join(members.select("node").distinct(), "node").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"))
+    texts = docs.join(of, ["doc_id", "text_hash"]).select("node", "text")
+
+    def link(part):
+        nodes = part.column("node").to_pylist()
+        text = dict(zip(nodes, part.column("text").to_pylist()))
+        nodes = sorted(text)
+        found = spanning_links([text[x] for x in nodes], n, percent)
+        return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.int64()), "b": pa.array([nodes[j] for _, j in found], pa.int64())})
+
+    return met.join(texts, "node").groupBy("group", "lo", "hi").applyInArrow(link, "a bigint, b bigint").distinct()
 
 
 def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text).
 
-    Documents of one shingle set are joined as one class, named by its smallest doc_id.
-    In each run of classes that share a signature the smallest is first compared with
-    every other (small runs: all pairs); then, with the components so found, every pair
-    of a run whose ends lie in different components is compared too.  No pair that
-    reaches the similarity is thus left between two components.
+    Documents of one shingle set are one class.
 
     Null, empty and blank texts have the empty set and are linked with nothing.  A row
     with a null doc_id is described but linked with nothing, and its component_id is
-    null.  Rows that repeat a doc_id count as one document for linking.  Other columns
-    are not read.  An empty table gives no rows.
+    null.  Rows that repeat a doc_id with another text are separate documents of one id.
+    Other columns are not read.  An empty table gives no rows.
     """
-    described = cut(describe(docs.select("doc_id", "text"), n))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    described = cut(describe(keyed, n, ("doc_id", "text_hash")))
     linkable = described.where("print IS NOT NULL AND doc_id IS NOT NULL")
-    classes = cut(linkable.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles")))
+    classes = cut(linkable.groupBy("print").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n_shingles").alias("n_shingles"), F.max("node").alias("node")))
     bands, rows = plan_bands(classes, percent)
-    links = None
-    if bands:
-        texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "text").join(classes.select("node").distinct(), "node", "left_semi")
-        texts = cut(texts)
-        runs = cut(candidate_runs(texts, bands, rows, n, percent).distinct())
-        rest = F.slice("members", 2, F.size("members"))
-        small = runs.where(F.size("members") <= SMALL_RUN).select(F.explode(F.flatten(F.transform("members", lambda x, i: F.transform(F.slice("members", i + 2, SMALL_RUN), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.*")
-        star = runs.where(F.size("members") > SMALL_RUN).select(F.col("members")[0].alias("a"), F.explode(rest).alias("b"))
-        first = cut(small.unionByName(star).distinct())
-        links = cut(verified(first, texts, n, percent))
-        large = runs.where(F.size("members") > SMALL_RUN).withColumn("run", F.monotonically_increasing_id())
-        large = cut(large)
-        label = components(links)
-        across = _across(large, label)
-        more = cut(across.join(first, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = cut(links.unionByName(verified(more, texts, n, percent)))
-            label = components(links)
-        named = classes.select("print", "node").join(label, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
-    else:
-        named = classes.select("print", F.col("node").alias("component_id"))
+    if not bands:
+        return described.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    # classes whose first 64 bits agree (about none below 10^9 classes) get numbers of their own
+    shared = classes.groupBy("node").agg(F.count("*").alias("k"), F.collect_list("print").alias("prints")).where("k > 1").collect()
+    moved = {bytes(x): int.from_bytes(xxhash.xxh3_64_digest(bytes(x) + b"again"), "little", signed=True) for r in shared for x in r["prints"]}
+    if moved:
+        classes = cut(classes.withColumn("node", F.udf(lambda x: class_number(bytes(x), moved), "bigint")("print")))
+    present = keyed.where("doc_id IS NOT NULL")
+    runs = cut(candidate_runs(present, bands, rows, n, percent, moved).distinct())
+    label = components(group_links(runs, classes, present, n, percent))
+    grouped = classes.join(label, "node", "left").select("print", F.coalesce("component", "node").alias("component"), F.col("first.doc_id").alias("lowest"))
+    lowest = grouped.groupBy("component").agg(F.min("lowest").alias("component_id"))
+    named = grouped.join(lowest, "component").select("print", "component_id")
     return (
-        described.join(named, "print", "left")
+        described.drop("node").join(named, "print", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     )
 
-
-def _across(runs: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs a < b of members of a run whose components differ."""
-    members = runs.select("run", F.explode("members").alias("node"))
-    placed = members.join(label, "node", "left").select("run", "node", F.coalesce("component", "node").alias("component"))
-    mixed_runs = placed.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("run")
-    left = cut(placed.join(mixed_runs, "run"))
-    right = left.select("run", F.col("node").alias("b"), F.col("component").alias("_c"))
-    return left.withColumnRenamed("node", "a").join(right, "run").where("component <> _c AND a < b").select("a", "b").distinct()
