@@ -12,8 +12,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b), component being the smallest node reachable.
 
     In each round every node points to its smallest neighbour if that is smaller than
-    itself, pointers are followed twice, and the edges are moved to what their ends point
-    to; loops and repeated edges go.  A component's smallest node never moves, so it is
+    itself, pointers are followed, twice as far each time, to the ends of their chains, and
+    the edges are moved to what their ends point to; loops and repeated edges go, and the
+    nodes that are left are fewer than half.  A component's smallest node never moves, so it is
     what remains.  Sums and joins are by node, and a hub's edges are pre-aggregated.
     """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -26,10 +27,12 @@ def components(edges: DataFrame) -> DataFrame:
             return label
         points = both(edges).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
         points = cut(points)
-        for _ in range(2):
+        while True:
             hop = points.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            points = points.join(hop, "to", "left").select("node", F.coalesce("next", "to").alias("to"))
-        points = cut(points)
+            ahead = cut(points.join(hop, "to", "left").select("node", "to", F.coalesce("next", "to").alias("next")))
+            points = ahead.select("node", F.col("next").alias("to"))
+            if ahead.where("next <> to").isEmpty():
+                break
         moved = _moved(_moved(edges, "a", points), "b", points)
         edges = cut(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if label is None:
