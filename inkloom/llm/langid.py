@@ -168,7 +168,7 @@ def identify(docs: DataFrame, model: ContextModel | None, keep: tuple[str, ...]
     in alphabetical order.  Whole texts are read, whatever their length; rows are
     independent; other columns are not read.
     """
-    kept = [f for f in docs.schema.fields if f.name in keep]
+    kept = [f for f in docs.schema.fields if f.name in keep and f.name not in ("lang_pred", "score")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, score double"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -47,11 +47,13 @@ def with_chunks(docs: DataFrame, divisor: int = 4) -> DataFrame:
 def dedup_lines(docs: DataFrame, divisor: int = 4, key: str = "doc_id") -> DataFrame:
     """docs with repeated multi-line chunks removed from text, and n_lines, n_removed.
 
-    All columns of docs stay.  A null text stays null (n_lines 0); an empty text is one
+    All columns of docs stay, but for those named as the operator's own, which are replaced.
+    A null text stays null (n_lines 0); an empty text is one
     empty line.  A chunk's first place is the smallest (key, md5 of text, line), a null
     key first; rows that agree in key and text count as one document and both keep what
     the document keeps.  The text of a document that loses all its lines is empty.
     """
+    docs = docs.drop("n_lines", "n_removed", "_mark", "_of", "_suspects", "_lines", "_removed", "_gone", "_all", "_v")
     mark = F.struct(F.col(key).alias("k"), F.md5(F.col("text").cast("binary")).alias("m"))
     marked = _held(docs, "_mark", mark)
     parts = with_chunks(marked.select("_mark", "text"), divisor)

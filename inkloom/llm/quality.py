@@ -185,12 +185,14 @@ def _views(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def score_quality(docs: DataFrame, labels: DataFrame, labelled: int = 4000, unlabelled: int = 4000) -> DataFrame:
     """docs with text_score, meta_score, score (all 0 to 1) and accepted.
 
-    All columns of docs stay; docs has doc_id, text, lang, source and n_chars.  Null text
+    All columns of docs stay, but for those named as the four above, which are replaced;
+    docs has doc_id, text, lang, source and n_chars.  Null text
     is scored as empty, null metadata as a value of its own; a null doc_id is scored but
     never learnt from.  Repeated labels of a document: the best holds.  Repeated rows are
     scored alike.  Without labels of both kinds scores are 0.5 and all is accepted.  An
     empty table gives no rows.
     """
+    docs = docs.drop("text_score", "meta_score", "score", "accepted", "_label", "_quality")
     model = train_on(docs, labels, labelled, unlabelled)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
