@@ -394,3 +394,19 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     )
 
+
+
+#: The same over the table documents as DuckDB SQL, by the shingles that pairs share.
+COMPONENTS_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents WHERE text IS NOT NULL),
+i AS (SELECT doc_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 4))) AS i FROM w WHERE len(ws) > 0),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM i),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT l.b, reach.c FROM reach JOIN l ON l.a = reach.d),
+low AS (SELECT d, min(c) AS component_id FROM reach GROUP BY d)
+SELECT o.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, low.component_id
+FROM documents o LEFT JOIN n ON n.doc_id = o.doc_id JOIN low ON low.d = o.doc_id"""

@@ -62,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": linededup.dedup_sql(), "op3_exact_top_k": metric.TOP_K_SQL, "op8_near_vectors": vectors.NEAR_SQL}
+    return {"op1_ngram_jaccard": jaccard.COMPONENTS_SQL, "op2_line_dedup": linededup.dedup_sql(), "op3_exact_top_k": metric.TOP_K_SQL, "op8_near_vectors": vectors.NEAR_SQL}
