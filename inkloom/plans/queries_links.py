@@ -225,3 +225,13 @@ add("parse_findings", lambda s, d: AL.parse_reply(_table(s, d, "events").select(
     """SELECT event_id AS chunk, CASE event_id % 5 WHEN 0 THEN 'error' ELSE 'info' END AS severity, CASE event_id % 5 WHEN 0 THEN 't' WHEN 1 THEN 'u' ELSE 'parse_error' END AS type, CASE event_id % 5 WHEN 0 THEN 'd' || event_id WHEN 1 THEN '' ELSE 'could not parse LLM reply as JSON: ''{bad''' END AS description FROM events WHERE event_id % 5 IN (0, 1, 3)""")
 add("review_report", lambda s, d: AL.review_report(AL.sample(PAGES(s, d), blocks(s, d)), AL.parse_reply(_table(s, d, "events").select(F.col("event_id").alias("chunk"), F.expr(REPLY).alias("reply"))).select((F.col("chunk") % 20).cast("int").alias("book"), F.lit(0).alias("page_no"), "severity", "type", "description")))
 add("truncate_dump", lambda s, d: _table(s, d, "pages").select("page_id", AL.shorten(F.col("url")).alias("short"), AL.shorten(F.col("html")).alias("data")), "SELECT page_id, CASE WHEN length(url) > 64 THEN substr(url, 1, 32) || '...<truncated ' || length(url) || ' bytes>' ELSE url END AS short, CASE WHEN length(html) > 64 THEN substr(html, 1, 32) || '...<truncated ' || length(html) || ' bytes>' ELSE html END AS data FROM pages")
+SQL["attach_heading_ids"] = f"SELECT doc, ord, line AS text, id FROM ({SQL['extract_heading_ids']}) WHERE ord IS NOT NULL"
+PLAIN_IDS = SQL["dedupe_ids"].replace(TAKEN, "SELECT book, member, id FROM ids")
+SQL["rewrite_hrefs"] = f"""WITH {duck_facts('hrefs')}, moved AS (SELECT * FROM ({PLAIN_IDS}) WHERE id <> new_id)
+SELECT h.book, h.member, h.line, CASE WHEN m.new_id IS NOT NULL THEN split_part(h.href, '#', 1) || '#' || m.new_id ELSE h.href END AS href
+FROM hrefs h LEFT JOIN moved m ON m.book = h.book AND m.member = split_part(h.href, '#', 1) AND m.id = split_part(h.href, '#', 2)"""
+BRACES = "length(body) - length(replace(body, '{', '')) = length(body) - length(replace(body, '}', ''))"
+SQL["formula_align"] = f"""WITH {DUCK_LINES}, swap AS (SELECT doc, line_no, map(list(pos), list(ord)) AS m FROM {SEGS} WHERE ord % 3 <> 1 AND ord % 5 > 0
+  AND NOT ({BRACES} AND NOT ((contains(body, '&') OR contains(body, chr(92) || chr(92))) AND NOT contains(body, chr(92) || 'begin{{'))) GROUP BY doc, line_no),
+p AS (SELECT md.doc, md.line_no, md.line, s.m, string_split_regex(line, '{SEG}') AS ps, regexp_extract_all(line, '{SEG}') AS ms FROM md LEFT JOIN swap s ON s.doc = md.doc AND s.line_no = md.line_no)
+SELECT doc, line_no, CASE WHEN m IS NULL THEN line ELSE array_to_string(list_transform(list_zip(ps, list_append(list_transform(ms, lambda x, i: CASE WHEN m[CAST(i - 1 AS INT)] IS NOT NULL THEN '![](media/formula_' || lpad(CAST(m[CAST(i - 1 AS INT)] AS VARCHAR), 4, '0') || '.png)' ELSE x END), '')), lambda z: z[1] || z[2]), '') END AS line FROM p"""
