@@ -12,6 +12,7 @@ walk over the table, longest arc label first, finds the encoding; decoding joins
 
 from __future__ import annotations
 
+import gc
 import json
 import unicodedata
 
@@ -247,7 +248,9 @@ _LOADED: dict[tuple[type, str], object] = {}
 
 
 def loaded(kind: type, path: str):
-    """One automaton per worker process."""
+    """One automaton per worker process; what it holds is kept out of the garbage collector's rounds."""
     if (kind, path) not in _LOADED:
         _LOADED[kind, path] = kind(path)
+        gc.freeze()
+        gc.set_threshold(200_000, 50, 100)
     return _LOADED[kind, path]
