@@ -155,7 +155,7 @@ def heal_sentences(lines: DataFrame) -> DataFrame:
     edge = edge & like(nxt, r"^\p{javaLowerCase}") & ~structural(nxt) & ~like(nxt, rules.LIST_ITEM)
     f = f.withColumn("_edge", F.coalesce(edge, F.lit(False)))
     # runs of edges among the non-blank rows
-    f = f.withColumn("_run", F.sum((F.col("_full") & ~F.col("_edge")).cast("int")).over(w.rowsBetween(*BEFORE)))
+    f = f.withColumn("_run", F.coalesce(F.sum((F.col("_full") & ~F.col("_edge")).cast("int")).over(w.rowsBetween(*BEFORE)), F.lit(0)))
     f = f.withColumn("_place", F.sum(F.col("_edge").cast("int")).over(Window.partitionBy("doc", "_run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
     f = f.withColumn("_fires", F.col("_edge") & (F.col("_place") % 2 == 1))
     f = f.withColumn("_taken", F.coalesce(F.last(F.when(F.col("_fires"), F.col("_next._row")), True).over(w.rowsBetween(*BEFORE)) >= F.col("_row"), F.lit(False)))
