@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 import zlib
@@ -266,6 +267,19 @@ def test_attention_is_causal_and_probabilities_sum_to_one():
         assert np.allclose(np.bincount(group, p), 1, atol=1e-5)
 
 
+def test_the_shipped_model_looks_far_enough_back():
+    rng = np.random.default_rng(3)
+    model = lm.CausalModel(np.arange(12), 12, lm.Shape()).prepare()
+    assert model.shape.size == 16 and model.shape.scored == 24
+    inputs = rng.integers(0, 11, (1, model.shape.window))
+    changed = inputs.copy()
+    changed[0, model.shape.context - 8] = 11
+    target = np.zeros((1, model.shape.scored), "i8")
+    assert (model.class_logs(inputs, target) != model.class_logs(changed, target))[0, 0]
+    defaults = inspect.signature(lm.train).parameters
+    assert (defaults["classes"].default, defaults["pairs"].default) == (56, 2048)
+
+
 def test_language_model(spark):
     rows = [(i, t) for i, t in enumerate(texts(10, 80, 60))] + [(100, None), (101, ""), (None, "no id A"), (5, "again"), (102, "dup"), (102, "dup")]
     got = lm.score_texts(docs_of(spark, rows), BYTE, common_words=20).collect()
