@@ -280,6 +280,22 @@ def test_the_shipped_model_looks_far_enough_back():
     assert (defaults["classes"].default, defaults["pairs"].default) == (56, 2048)
 
 
+def test_the_model_learns_pairs_of_words_from_all_texts(spark):
+    rows = [(i, ("red house", "blue water")[i % 2]) for i in range(300)] + [(400, None)]
+    docs = docs_of(spark, rows)
+    bpe = ByteBpe(BYTE)
+    ids = lambda t: [*np.frombuffer(b"".join(lm.word_ids(bpe)[w] for w in lm.words_of(t or "")), "<i4").tolist(), len(bpe.labels) - 1]
+    want = {}
+    for _, t in rows:
+        for pair in zip([len(bpe.labels) - 1, *ids(t)], ids(t)):
+            want[pair] = want.get(pair, 0) + 1
+    assert {divmod(r["pair"], len(bpe.labels)): r["n"] for r in lm.id_pairs(docs, BYTE).collect()} == want
+    assert [lm.texts_to_train(n, 400) for n in (0, 40_000, 250_000, 15_000_000)] == [400, 400, 1000, 7746]
+    scorer = lm.train(docs, len(rows), BYTE, sample=1)
+    score = dict(zip(texts := ["red house", "red water", "blue water", "blue house"], scorer.scores([np.array(ids(t), "i4") for t in texts])))
+    assert score["red house"] > score["red water"] + 0.5 and score["blue water"] > score["blue house"] + 0.5
+
+
 def test_language_model(spark):
     rows = [(i, t) for i, t in enumerate(texts(10, 80, 60))] + [(100, None), (101, ""), (None, "no id A"), (5, "again"), (102, "dup"), (102, "dup")]
     got = lm.score_texts(docs_of(spark, rows), BYTE, common_words=20).collect()
