@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the multi-line passages that stand in an earlier one; what is left of a text may not be blank."""
-    done = linededup.dedup_lines(docs.select(COLUMNS))
+    done = linededup.dedup_lines(docs.select(COLUMNS), windows=True)
     return done.where("n_removed = 0 OR text RLIKE '[^ \\\\n]'").withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 

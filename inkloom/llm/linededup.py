@@ -44,9 +44,22 @@ def with_chunks(docs: DataFrame, divisor: int = 4) -> DataFrame:
     return ended.withColumn("_chunks", F.transform(F.filter(bounds, lambda b: b["end"] > b["start"]), chunk)).drop("_hash", "_ends")
 
 
-def dedup_lines(docs: DataFrame, divisor: int = 4, key: str = "doc_id") -> DataFrame:
+def with_windows(docs: DataFrame) -> DataFrame:
+    """Adds _lines and _chunks: each line that is not blank with the next such line, and the blank ones between."""
+    lines = _held(docs, "_lines", F.split("text", "\n", -1))
+    at = _held(lines, "_at", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.col("_lines")[i].rlike(r"\S")))
+    spans = F.zip_with("_at", F.slice("_at", 2, F.greatest(F.size("_at"), F.lit(1))), lambda i, j: F.struct(i.alias("start"), (j - i + 1).alias("n_lines")))
+    window = lambda c: F.struct(c["start"].alias("start"), c["n_lines"].alias("n_lines"), F.array_join(F.slice("_lines", c["start"] + 1, c["n_lines"]), "\n").alias("body"))
+    return at.withColumn("_chunks", F.transform(F.filter(spans, lambda c: c["n_lines"].isNotNull()), window)).drop("_at")
+
+
+def dedup_lines(docs: DataFrame, divisor: int = 4, key: str = "doc_id", windows: bool = False) -> DataFrame:
     """docs with repeated multi-line chunks removed from text, and n_lines, n_removed.
 
+    With `windows`, every two lines in a row are a chunk (`with_windows`; chunks overlap),
+    so that a repeated passage goes from its first line to its last, wherever it stands.
+    A line that goes stands at an earlier place, and by induction on places at one that stays.
+
     All columns of docs stay, but for those named as the operator's own, which are replaced.
     A null text stays null (n_lines 0); an empty text is one
     empty line.  A chunk's first place is the smallest (key, md5 of text, line), a null
@@ -56,7 +69,7 @@ def dedup_lines(docs: DataFrame, divisor: int = 4, key: str = "doc_id") -> DataF
     docs = docs.drop("n_lines", "n_removed", "_mark", "_of", "_suspects", "_lines", "_removed", "_gone", "_all", "_v")
     mark = F.struct(F.col(key).alias("k"), F.md5(F.col("text").cast("binary")).alias("m"))
     marked = _held(docs, "_mark", mark)
-    parts = with_chunks(marked.select("_mark", "text"), divisor)
+    parts = with_windows(marked.select("_mark", "text")) if windows else with_chunks(marked.select("_mark", "text"), divisor)
     # only hashes and places are shuffled here; bodies follow for repeated hashes alone
     chunks = parts.select("_mark", F.explode("_chunks").alias("c")).select("_mark", F.col("c.start").alias("start"), F.col("c.n_lines").alias("n_lines"), F.xxhash64("c.body").alias("h"))
     repeated = chunks.groupBy("h").agg(F.min(F.struct("_mark", "start")).alias("lo"), F.max(F.struct("_mark", "start")).alias("hi")).where("lo < hi").select("h")

@@ -183,6 +183,15 @@ def test_lines(spark):
     assert "Python" not in linededup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_windows_take_whole_passages(spark):
+    passage = [f"passage line {i}" for i in range(5)]
+    rows = [(1, "\n".join(["a1", *passage, "b1"])), (2, "\n".join(["a2", "a3", *passage[:3], "", *passage[3:], "b2"])), (3, "\n".join(["a4", *passage[1:3], "b3", passage[4]])), (4, "\n".join(passage)), (5, None), (6, ""), (7, "one"), (8, "\n\n")]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.dedup_lines(docs_of(spark, rows), windows=True).collect()}
+    assert got[1] == (rows[0][1], 0) and got[3] == ("a4\nb3\npassage line 4", 2) and got[4] == ("", 5)
+    assert got[2] == ("a2\na3\n\nb2", 5)
+    assert [got[i] for i in (5, 6, 7, 8)] == [(None, 0), ("", 0), ("one", 0), ("\n\n", 0)]
+
+
 def brute_components(rows):
     sets = {i: jaccard.shingle_set(t or "") for i, t in rows if i is not None}
     up = {i: i for i in sets}
