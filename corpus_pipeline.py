@@ -30,10 +30,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id; documents without a doc_id stay."""
-    groups = jaccard.similar_components(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """One document of each group of near-duplicates: that of the smallest doc_id, and of that the smallest hash of text.
+
+    Of rows that agree in doc_id and text the one with the smallest (lang, source, n_chars)
+    stays, nulls first, also where doc_id is null; such documents are linked with no other.
+    """
+    groups = jaccard.similar_components(docs, by_text=True)
+    gone = groups.where("NOT first").select("doc_id", "text_hash").distinct()
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = docs.select(COLUMNS).groupBy("doc_id", F.xxhash64("text").alias("text_hash")).agg(F.min(F.struct(*rest, "text")).alias("row"))
+    return one.join(gone, ["doc_id", "text_hash"], "left_anti").select("doc_id", "row.*").select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -361,9 +361,12 @@ def group_links(runs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, pe
     return met.join(texts, "node").groupBy("group", "lo", "hi").applyInArrow(link, "a bigint, b bigint").distinct()
 
 
-def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, by_text: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text).
 
+    With `by_text` also text_hash (xxhash64 of text) and `first`: whether the row has the
+    smallest (doc_id, text_hash) of its component; rows linked with nothing have it.
+
     Documents of one shingle set are one class.
 
     Null, empty and blank texts have the empty set and are linked with nothing.  A row
@@ -377,7 +380,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     classes = cut(linkable.groupBy("print").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n_shingles").alias("n_shingles"), F.max("node").alias("node")))
     bands, rows = plan_bands(classes, percent)
     if not bands:
-        return described.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return described.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), *([F.col("text_hash"), F.lit(True).alias("first")] if by_text else []))
     # classes whose first 64 bits agree (about none below 10^9 classes) get numbers of their own
     shared = classes.groupBy("node").agg(F.count("*").alias("k"), F.collect_list("print").alias("prints")).where("k > 1").collect()
     moved = {bytes(x): int.from_bytes(xxhash.xxh3_64_digest(bytes(x) + b"again"), "little", signed=True) for r in shared for x in r["prints"]}
@@ -386,9 +389,15 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     present = keyed.where("doc_id IS NOT NULL")
     runs = cut(candidate_runs(present, bands, rows, n, percent, moved).distinct())
     label = components(group_links(runs, classes, present, n, percent))
-    grouped = classes.join(label, "node", "left").select("print", F.coalesce("component", "node").alias("component"), F.col("first.doc_id").alias("lowest"))
+    grouped = classes.join(label, "node", "left").select("print", F.coalesce("component", "node").alias("component"), F.col("first" if by_text else "first.doc_id").alias("lowest"))
     lowest = grouped.groupBy("component").agg(F.min("lowest").alias("component_id"))
     named = grouped.join(lowest, "component").select("print", "component_id")
+    if by_text:
+        of = F.col("component_id")
+        return described.drop("node").join(named, "print", "left").select(
+            "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(of["doc_id"], "doc_id")).alias("component_id"), "text_hash",
+            F.coalesce((of["doc_id"] == F.col("doc_id")) & (of["text_hash"] == F.col("text_hash")), F.lit(True)).alias("first"),
+        )
     return (
         described.drop("node").join(named, "print", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

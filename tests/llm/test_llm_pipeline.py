@@ -51,6 +51,14 @@ def test_stages(spark, folder):
     assert {r["doc_id"]: r["doc_tokens"] for r in out} == want
 
 
+def test_near_duplicates_go_by_id_and_text(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(1), "en"), (5, text(1) + " tail", "en"), (5, text(2), "en"), (5, text(2), "fr"), (7, text(3), "en"), (7, text(3) + " tail", "en"), (None, text(4), "en"), (None, text(4), "en")]
+    docs = spark.createDataFrame([(i, t, l, "s", len(t)) for i, t, l in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = [(r["doc_id"], r["text"].split()[0], r["lang"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, "w1x0", "en"), (5, "w2x0", "en"), (7, "w3x0", "en"), (None, "w4x0", "en")]))
+
+
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() >= 80
 
