@@ -9,6 +9,8 @@ from dataclasses import dataclass
 # fixed values: element names of HTML
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset("script style template noscript svg math iframe object head textarea select".split())
+#: Hidden elements whose content is no markup: without an end tag they reach to the page's end.
+RAW = frozenset("script style textarea iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 CLOSED_BY_SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol table dl body html div section article main aside nav footer header form blockquote figure td th".split())
@@ -86,13 +88,15 @@ def blocks_of(page: str) -> list[Block]:
                 if name in INLINE and stack[i][0] not in INLINE:
                     break
             continue
+        if name in ("svg", "math") and rest.endswith("/"):
+            continue
         if name in HIDDEN:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             if name == "head" and not end:
                 end = re.compile(r"(?=<body\b)", re.I).search(page, at)
             if name not in ("svg", "math"):
                 flush()
-            at = end.end() if end else len(page)
+            at = end.end() if end else len(page) if name in RAW else at
             continue
         if name in VOID:
             if name == "br":

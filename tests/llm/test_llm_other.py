@@ -116,6 +116,13 @@ def test_blocks():
     assert blocks_of("") == [] and [b.text for b in blocks_of("bare < text")] == ["bare < text"] and blocks_of("<script>x") == []
 
 
+def test_hidden_elements_without_end():
+    texts = lambda page: [b.text for b in blocks_of(page)]
+    assert texts('<p>one <svg width="9"/> two</p><p>three</p><svg><text>no</text></svg><p>four</p>') == ["one two", "three", "four"]
+    assert texts("<p>one</p><noscript><p>two</p>") == ["one", "two"]
+    assert texts("<p>one</p><script>var x = '<p>two</p>'") == ["one"]
+
+
 def test_gradients_are_those_of_the_loss():
     model = extraction.Labeller(1)
     pages = extraction.training_pages(3, 5)
