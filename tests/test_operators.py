@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkloom.operators import align, audit, chunking, formula, links, refs, report
+from inkloom.plans import registry
 from inkloom.sources import archives, pages
 
 
@@ -146,3 +147,11 @@ def test_archives(spark, tmp_path):
     (tmp_path / "c.epub").write_bytes(bytes(packed))
     with zipfile.ZipFile(tmp_path / "c.epub") as z:
         assert z.namelist()[0] == "mimetype" and z.infolist()[0].compress_type == zipfile.ZIP_STORED
+
+
+def test_fenced_code_is_whole(spark, tmp_path):
+    texts = ["short", "word " * 100 + "tail"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["item_id"]: r["body"] for r in registry.queries()["fence_inline_code"](spark, str(tmp_path)).collect()}
+    assert "short" + "x" * 225 in got[0] and "x" * 226 not in got[0]
+    assert texts[1] in got[1]
