@@ -4,22 +4,27 @@ The automaton accepts exactly the token sequences that the merge rules produce.
 starts as one state with a loop for every atom.  Each merge (u, v) -> w, in order of
 rank, adds a gadget: a new state, which is the state after u without its arc for v,
 becomes the state after u; and w leads, from wherever u leads, to the state after v.
-A state is therefore stored as (state it was copied from, arc it lost, rank at which it
-was made), and an arc is decided by walking that short chain; decided arcs are kept in
-a transition table.  The accepted path that spells a word is unique, so a depth-first
-walk over the table, longest arc label first, finds the encoding; decoding joins labels.
+So one state is the last copy for each token, the copies before it differ from it by the
+arcs that gadgets of later rank took, and a gadget is held as its rank alone.  An arc is
+decided by going back through the gadgets that touched either of its ends; decided arcs
+are kept in a transition table.  The accepted path that spells a word is unique, so a
+depth-first walk finds the encoding: at each place the longest label that the table of
+label beginnings gives, and then, by a table of fallbacks, ever shorter ones.  Decoding
+joins labels.
 """
 
 from __future__ import annotations
 
-import gc
 import json
+import sys
 import unicodedata
+from array import array
 
 import regex
 
 #: Ends a word in vocabularies whose tokens mark word ends; no byte maps to it.
 WORD_END = "Ā"
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -37,17 +42,17 @@ def byte_alphabet() -> dict[str, int]:
 class MergeAutomaton:
     """tokens: label -> id; merges: pairs of labels by rank."""
 
-    MOST_ARCS = 2_000_000
+    #: Decided arcs held at once (about 100 bytes each).
+    MOST_ARCS = 400_000
 
     def __init__(self, tokens: dict[str, int], atoms: list[str], merges: list[tuple[str, str]]):
         self.ids: dict[str, int] = {a: tokens[a] for a in atoms if a in tokens}
         size = max(tokens.values()) + 1
         self.made = [-1] * size  # rank at which a token appeared
-        self.left = [-1] * size  # first part of a merged token
-        self.after = [0] * size  # state after a token
-        self.copied, self.lost, self.born = [0], [-1], [-1]
-        self.arcs: dict[int, int] = {}
-        ids, after = self.ids, self.after
+        self.parts = [(-1, -1)] * size  # what a merged token was made of
+        self.gadgets: dict[int, int] = {}  # (u, v) -> rank
+        self.arcs: dict[int, bool] = {}
+        ids = self.ids
         for rank, (u, v) in enumerate(merges):
             a, b = ids.get(u), ids.get(v)
             w = tokens.get(u + v)
@@ -55,92 +60,94 @@ class MergeAutomaton:
                 continue
             if u + v in ids:
                 raise ValueError("two merges make the same token")
-            old, target = after[a], after[b]
-            if not self.leads(old, b):
+            if not self.leads(a, b):
                 continue
-            self.copied.append(old)
-            self.lost.append(b)
-            self.born.append(rank)
-            self.made[w], self.left[w], after[w] = rank, a, target
-            after[a] = len(self.copied) - 1
+            self.gadgets[a << 20 | b] = rank
+            self.made[w], self.parts[w] = rank, (a, b)
             ids[u + v] = w
-        self.longest: dict[str, int] = {}  # of labels that begin so
-        for label in ids:
-            for n in (2, 3, 4):
-                self.longest[label[:n]] = max(len(label), self.longest.get(label[:n], 1))
-
-    def reach(self, word: str, at: int) -> int:
-        """No label that the word has at a place is longer."""
-        longest = self.longest
-        return longest.get(word[at : at + 4]) or min(3, longest.get(word[at : at + 3]) or min(2, longest.get(word[at : at + 2], 1)))
-
-    def leads(self, state: int, token: int) -> bool:
-        copied, lost, born, made, left = self.copied, self.lost, self.born, self.made, self.left
-        while state:
-            if made[token] >= born[state]:
-                token = left[token]
-            elif lost[state] == token:
+        self.begins: dict[str, int] = {}  # the longest token that a beginning of a label begins with
+        self.shorter, self.sizes = [-1] * size, [0] * size
+        for label, token in sorted(ids.items(), key=lambda x: len(x[0])):
+            best = -1
+            for n in range(1, len(label)):
+                best = self.begins[label[:n]] = ids.get(label[:n], best)
+            self.begins[label] = token
+            self.shorter[token], self.sizes[token] = best, len(label)
+
+    def leads(self, a: int, b: int) -> bool:
+        """Whether the state after token a has an arc for token b: whether no gadget among the copies behind both took it."""
+        gadgets, made, parts, before = self.gadgets, self.made, self.parts, len(self.made) << 8
+        while True:
+            rank = gadgets.get(a << 20 | b)
+            if rank is not None and rank < before:
                 return False
-            else:
-                state = copied[state]
-        return True
+            if made[a] < 0 and made[b] < 0:
+                return True
+            if made[b] > made[a]:  # copies up to b's making know it as its first part
+                before = min(before, made[b] + 1)
+                b = parts[b][0]
+            else:  # a's state began as that after its second part
+                before = min(before, made[a])
+                a = parts[a][1]
 
     def encode(self, word: str) -> list[int]:
-        ids = self.ids
-        whole = ids.get(word)
+        whole = self.ids.get(word)
         if whole is not None:
             return [whole]
-        arcs, reach, n = self.arcs, self.reach, len(word)
+        begins, arcs, sizes, shorter, n = self.begins.get, self.arcs, self.sizes, self.shorter, len(word)
         out: list[int] = []
-        ends: list[int] = [0]
-        state, at, dead = 0, 0, set()
-        size = min(n, reach(word, 0))
+        dead: set[int] = set()
+        last, at, token = -1, 0, None
         while at < n:
-            while size:
-                token = ids.get(word[at : at + size])
-                if token is not None and at + size not in dead:
-                    key = state << 20 | token
-                    follows = arcs.get(key)
-                    if follows is None:
-                        follows = self.after[token] if self.leads(state, token) else -1
+            if token is None:
+                token, end = begins(word[at], -1), at + 2
+                while end <= n:
+                    longer = begins(word[at:end])
+                    if longer is None:
+                        break
+                    token = longer
+                    end += 1
+            while token >= 0:
+                if last < 0:
+                    free = True
+                else:
+                    free = arcs.get(last << 20 | token)
+                    if free is None:
                         if len(arcs) >= self.MOST_ARCS:
                             arcs.clear()
-                        arcs[key] = follows
-                    if follows >= 0:
-                        break
-                size -= 1
-            if size:
+                        free = arcs[last << 20 | token] = self.leads(last, token)
+                if free and not (dead and at + sizes[token] in dead):
+                    break
+                token = shorter[token]
+            if token >= 0:
                 out.append(token)
-                at += size
-                ends.append(at)
-                state = follows
-                size = min(n - at, reach(word, at))
+                at += sizes[token]
+                last, token = token, None
             else:
                 if not out:
                     raise ValueError(f"no encoding of {word!r}")
                 dead.add(at)
-                out.pop()
-                ends.pop()
-                size, at = at - ends[-1] - 1, ends[-1]
-                state = self.after[out[-1]] if out else 0
+                token = out.pop()
+                at -= sizes[token]
+                token, last = shorter[token], out[-1] if out else -1
         return out
 
 
 class Chunks(dict):
-    """Encodings of chunks: those used since the last change of generation, and before that one generation more."""
+    """Encodings of chunks up to a length: those used since the last change of generation, and one generation before; held entries are bounded in number and size."""
 
-    def __init__(self, encode, most: int = 500_000):
+    def __init__(self, encode, most: int = 200_000, longest: int = 48):
         super().__init__()
-        self.encode, self.most, self.before = encode, most, {}
+        self.encode, self.most, self.longest, self.before = encode, most, longest, {}
 
     def __missing__(self, chunk) -> bytes:
         out = self.before.get(chunk)
         if out is None:
             out = self.encode(chunk)
-        if len(self) >= self.most:
-            self.before = dict(self)
-            self.clear()
-        if len(chunk) <= 256:
+        if len(chunk) <= self.longest:
+            if len(self) >= self.most:
+                self.before = dict(self)
+                self.clear()
             self[chunk] = out
         return out
 
@@ -165,7 +172,7 @@ def load(path: str):
 
 
 def packed(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    return array("I", ids).tobytes() if LITTLE else b"".join([i.to_bytes(4, "little") for i in ids])
 
 
 class ByteBpe:
@@ -231,8 +238,12 @@ class WordBpe:
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
-        text = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
-        text = text.lower() if text.isascii() else "".join(c.lower() for c in text)
+        if chunk.isascii():
+            text = chunk.lower()
+            if text.isalpha():  # one word
+                return self.word_ids[text]
+        else:
+            text = "".join([c.lower() for c in unicodedata.normalize("NFC", chunk)])
         return b"".join(map(self.word_ids.__getitem__, self.words(text)))
 
     def _piece(self, text: str) -> bytes:
@@ -248,9 +259,7 @@ _LOADED: dict[tuple[type, str], object] = {}
 
 
 def loaded(kind: type, path: str):
-    """One automaton per worker process; what it holds is kept out of the garbage collector's rounds."""
+    """One automaton per worker process."""
     if (kind, path) not in _LOADED:
         _LOADED[kind, path] = kind(path)
-        gc.freeze()
-        gc.set_threshold(200_000, 50, 100)
     return _LOADED[kind, path]

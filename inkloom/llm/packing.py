@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm.bpe import WordBpe, loaded
-from inkloom.llm.common import arrow_slices, texts_of
+from inkloom.llm.bpe import loaded
+from inkloom.llm.common import arrow_slices, tidied
+from inkloom.llm.library import WordIds
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -55,18 +56,22 @@ def cut_documents(docs: DataFrame, vocabulary: str, length: int = 2048, end_id:
     """Pieces of at most `length` ids of every document, its ids followed by end_id."""
 
     def run(batches):
-        bpe, end = loaded(WordBpe, vocabulary), end_id.to_bytes(4, "little")
-        for b in arrow_slices(batches, "text"):
-            rows: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), texts_of(b.column("text"))):
-                ids = bpe.encode(text) + end
-                for at in range(0, len(ids), 4 * length):
-                    piece = ids[at : at + 4 * length]
-                    for column, x in zip(rows, (doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4)):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+        words = loaded(WordIds, vocabulary)
+        for b in arrow_slices(batches, "text", 16 << 20):
+            ids, ends = words.ids(b.column("text"))
+            stream = np.insert(ids, ends, end_id)
+            ends = ends + np.arange(1, len(ends) + 1)
+            size = np.diff(ends, prepend=0)
+            count = -(-size // length)
+            doc = np.repeat(np.arange(len(size)), count)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * length
+            piece = np.minimum(length, size[doc] - start)
+            first, raw = (ends - size)[doc] + start, memoryview(stream.tobytes())
+            sums = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(first.tolist(), (first + piece).tolist())]
+            rows = [b.column("doc_id").cast(pa.int64()).take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, piece, sums, size[doc]))]
+            yield pa.RecordBatch.from_arrays(rows, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), PIECES)
 
 
 def pack(docs: DataFrame, vocabulary: str, length: int = 2048, end_id: int = 1, group_pieces: int = 20_000) -> DataFrame:

@@ -6,11 +6,13 @@ from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from inkloom.llm import encoding, jaccard, langid, linededup, lm, packing, quality
 from inkloom.llm.bpe import ByteBpe, WordBpe
+from inkloom.llm.library import WordIds
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, n_lines int, _mark int, node int"
@@ -39,6 +41,19 @@ def test_encodes_as_the_library(kind, path):
             assert own.decode(ids).decode() == library.decode(ids, skip_special_tokens=False)
 
 
+def test_distinct_words_are_encoded_as_the_library_encodes_texts():
+    rng = random.Random(5)
+    own, library = WordIds(WORD), Tokenizer.from_file(WORD)
+    noise = ["".join(rng.choice("ab cdeéß\n\t '.,!#12THEΣİ<|>日😀́\r\u2028") for _ in range(rng.randint(1, 60))) for _ in range(1500)]
+    given = ODD + ["a<|endoftext|>B <|startoftext|>", None, "Σ ΑΣ ΣΑ"] + noise + texts(1, 50)
+    ids, ends = own.ids(pa.array(given, pa.string()))
+    at = 0
+    for t, end in zip(given, ends.tolist()):
+        assert ids[at:end].tolist() == library.encode(t or "", add_special_tokens=False).ids, t
+        at = end
+    assert at == len(ids)
+
+
 def test_digests_and_round_trip(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "x"), (3, None), (1, "same"), (1, "same")]
     docs = docs_of(spark, rows)
