@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 
 import pyarrow as pa
@@ -16,16 +19,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the cluster's shared checkpoint folder and return it with its lineage cut.
 
-    The folder is the one of spark.checkpoint.dir; only where none is configured
-    (a local test session) a folder of its own is set.
+    The folder is the one of spark.checkpoint.dir.  Where none is configured it is a folder
+    of its own in a local session, as in tests, and one in the warehouse on a cluster,
+    whose machines share that.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkloom-"))
+        local = context.master == "local" or context.master.startswith("local[")
+        own = tempfile.mkdtemp(prefix="inkloom-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Return to the system what a task has freed: workers live on and take tasks of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidied(run, forget=None):
+    """A function of batches that gives memory back as its task ends; forget empties what its module holds."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            if forget:
+                forget()
+            give_back()
+
+    return wrapped
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkloom.llm.bpe import ByteBpe, loaded
-from inkloom.llm.common import arrow_slices, texts_of
+from inkloom.llm.common import arrow_slices, texts_of, tidied
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -33,7 +33,7 @@ def bpe_decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", keep: tupl
             out = [bpe.decode(x or []).decode() for x in b.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(out, pa.string())], names=[*(f.name for f in kept), "text"])
 
-    return encoded.select(*(f.name for f in kept), F.col(ids).alias("_ids")).mapInArrow(run, schema)
+    return encoded.select(*(f.name for f in kept), F.col(ids).alias("_ids")).mapInArrow(tidied(run), schema)
 
 
 def round_trip_digest(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -66,4 +66,4 @@ def _mapped(docs, vocabulary, text, keep, columns, make):
         for b in arrow_slices(batches, "_text"):
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *make(bpe, texts_of(b.column("_text")))], names=names)
 
-    return docs.select(*(f.name for f in kept), F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(f.name for f in kept), F.col(text).alias("_text")).mapInArrow(tidied(run), schema)

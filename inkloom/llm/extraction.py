@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm.common import arrow_slices, texts_of
+from inkloom.llm.common import arrow_slices, texts_of, tidied
 from inkloom.llm.markup import Block, blocks_of
 
 PATH_ROWS, WORD_ROWS, PATH_SIZE, WORD_SIZE, HIDDEN_SIZE = 2048, 1024, 24, 8, 20
@@ -37,7 +37,7 @@ class Rows(dict):
         self.size = size
 
     def __missing__(self, key: str) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 200_000:
             self.clear()
         out = self[key] = zlib.crc32(key.encode()) % self.size
         return out
@@ -46,6 +46,11 @@ class Rows(dict):
 _PATHS, _WORDS = Rows(PATH_ROWS), Rows(WORD_ROWS)
 
 
+def forget_rows() -> None:
+    _PATHS.clear()
+    _WORDS.clear()
+
+
 def path_features(block: Block) -> list[int]:
     tags = [t for t, _ in block.path]
     out = [f"t:{t}" for t in tags] + [f"c:{w}" for _, names in block.path for n in names for w in (n, *re.split(r"[-_]", n))]
@@ -363,4 +368,4 @@ def main_text(pages: DataFrame, sample_pages: int = 300) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
+    return pages.select("page_id", "url", "html").mapInArrow(tidied(run, forget_rows), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm.common import arrow_slices, cut, partitions, texts_of
+from inkloom.llm.common import arrow_slices, cut, partitions, texts_of, tidied
 from inkloom.llm.graph import components
 
 U64 = np.uint64
@@ -67,7 +67,7 @@ def words_of(text: str) -> list[bytes]:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         out = self[word] = xxhash.xxh3_64_intdigest(word)
         return out
@@ -76,6 +76,10 @@ class WordHashes(dict):
 _HASHES = WordHashes()
 
 
+def forget_words() -> None:
+    _HASHES.clear()
+
+
 def shingle_hashes(text: str, n: int = 5) -> np.ndarray:
     """Distinct 64-bit hashes of the n-word shingles, in ascending order."""
     words = words_of(text)
@@ -193,7 +197,7 @@ def describe(docs: DataFrame, n: int = 5, keep: tuple[str, ...] = ("doc_id",)) -
                 nodes.append(class_number(prints[-1], {}) if len(s) else None)
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(nodes, pa.int64())], names=[*(f.name for f in kept), "n_shingles", "print", "node"])
 
-    return docs.select(*(f.name for f in kept), F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(f.name for f in kept), F.col("text").alias("_text")).mapInArrow(tidied(run, forget_words), schema)
 
 
 def plan_bands(described: DataFrame, percent: int) -> tuple[list[Band], int]:
@@ -286,7 +290,7 @@ def candidate_runs(docs: DataFrame, bands: list[Band], rows: int, n: int, percen
                 lists.append(members)
         return pa.table({"members": pa.array(lists, pa.list_(pa.int64()))})
 
-    return docs.select("text").mapInArrow(emit, "bucket int, records binary").groupBy("bucket").applyInArrow(collide, "members array<bigint>")
+    return docs.select("text").mapInArrow(tidied(emit, forget_words), "bucket int, records binary").groupBy("bucket").applyInArrow(collide, "members array<bigint>")
 
 
 def spanning_links(texts: list[str], n: int, percent: int) -> list[tuple[int, int]]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm.common import arrow_slices, texts_of
+from inkloom.llm.common import arrow_slices, texts_of, tidied
 
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -187,7 +187,7 @@ def identify(docs: DataFrame, model: ContextModel | None, keep: tuple[str, ...]
                 score[lettered] = share[lettered]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), pa.array(lang, pa.string()), pa.array(score)], names=[*(f.name for f in kept), "lang_pred", "score"])
 
-    return docs.select(*(f.name for f in kept), F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*(f.name for f in kept), F.col("text").alias("_text")).mapInArrow(tidied(run), schema)
 
 
 def train_on(docs: DataFrame, per_language: int = 400) -> ContextModel | None:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm.common import cut
+from inkloom.llm.common import cut, tidied
 
 #: Slack of the bounds over rounding errors, as a share of the lengths involved (a distance comes from a difference of squares).
 SLACK = 1e-6
@@ -178,7 +178,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, tree_rows: int = 32_7
                 out = [(qid, vec, score) for qid, q in zip(ask["ids"].tolist(), ask["v"]) for score, vec in tree.search(q, qid, k)[0]]
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
 
-    found = pairs.select("queries", "blob").mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+    found = pairs.select("queries", "blob").mapInArrow(tidied(search), "query_id bigint, vec_id bigint, score bigint")
     # (a short list for every query, k from each tree)
     listed = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
     return listed.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm.common import arrow_slices, texts_of
+from inkloom.llm.common import arrow_slices, texts_of, tidied
 
 SHAPES, TEXT_SIZE = 512, 512 + 10
 LANG_ROWS, SOURCE_ROWS, LENGTH_ROWS = 32, 128, 20
@@ -38,7 +38,7 @@ def shape(token: str) -> str:
 
 class ShapeRows(dict):
     def __missing__(self, token: str) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         out = zlib.crc32(shape(token).encode()) % SHAPES
         if len(token) <= 64:
@@ -49,6 +49,10 @@ class ShapeRows(dict):
 _ROWS = ShapeRows()
 
 
+def forget_tokens() -> None:
+    _ROWS.clear()
+
+
 def text_view(text: str) -> np.ndarray:
     out = np.zeros(TEXT_SIZE, "f4")
     tokens = text.split()
@@ -168,7 +172,7 @@ def train_on(docs: DataFrame, labels: DataFrame, labelled: int = 4000, unlabelle
             t, m = _views(b)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_label"), pa.array([x.tobytes() for x in t], pa.binary()), pa.array([x.tobytes() for x in m], pa.binary())], names=["doc_id", "label", "t", "m"])
 
-    got = rows.mapInArrow(view, f"doc_id {dict(docs.dtypes)['doc_id']}, label int, t binary, m binary").collect()
+    got = rows.mapInArrow(tidied(view, forget_tokens), f"doc_id {dict(docs.dtypes)['doc_id']}, label int, t binary, m binary").collect()
     got = sorted(got, key=lambda r: (r["label"], r["doc_id"] is not None, r["doc_id"] or 0, bytes(r["t"])))
     label = np.array([r["label"] for r in got])
     if not {0, 1} <= set(label.tolist()):
@@ -206,4 +210,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, labelled: int = 4000, unla
                 a, c, s = (x.astype("f8") for x in m.score(*_views(b)))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(a), pa.array(c), pa.array(s), pa.array(s >= (m.threshold if m else 0.0))], names=[*names, "text_score", "meta_score", "score", "accepted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run, forget_tokens), schema)

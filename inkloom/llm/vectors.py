@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm.common import cut, partitions
+from inkloom.llm.common import cut, partitions, tidied
 from inkloom.llm.graph import components
 
 #: Vectors compared at once in one task; larger buckets are compared block against block.
@@ -156,7 +156,7 @@ def _bucket_links(classes: DataFrame, least: float, tables: int, rotations: int)
                     probes = code.shape[1]
                     yield pa.RecordBatch.from_arrays([pa.array(code.ravel()), pa.array(np.repeat(node[mine], probes))], names=["bucket", "node"])
 
-    entries = classes.select("node", "v").mapInArrow(hashed, "bucket bigint, node bigint").distinct()
+    entries = classes.select("node", "v").mapInArrow(tidied(hashed), "bucket bigint, node bigint").distinct()
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = entries.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a row of block i meets every block: pairs of blocks (i, j), i <= j, each compared in one task
@@ -195,7 +195,7 @@ def _bucket_links(classes: DataFrame, least: float, tables: int, rotations: int)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return dealt.select("bucket", "lo", "hi", "block", "node", "v").mapInArrow(compare, "a bigint, b bigint").distinct()
+    return dealt.select("bucket", "lo", "hi", "block", "node", "v").mapInArrow(tidied(compare), "a bigint, b bigint").distinct()
 
 
 def _degrees(classes: DataFrame, label: DataFrame, least: float) -> DataFrame:
@@ -255,7 +255,7 @@ def _degrees(classes: DataFrame, label: DataFrame, least: float) -> DataFrame:
     def _counts(done):
         return pa.RecordBatch.from_arrays([pa.array([int(x[0]) for x in done], pa.int64()), pa.array([int(x[1]) for x in done], pa.int64()), pa.array([int(x[2]) for x in done], pa.int64())], names=["node", "component", "n"])
 
-    counted = dealt.select("component", "node", "v", "copies", "at", "turn").mapInArrow(count, "node bigint, component bigint, n bigint")
+    counted = dealt.select("component", "node", "v", "copies", "at", "turn").mapInArrow(tidied(count), "node bigint, component bigint, n bigint")
     own = classes.select("node", "copies")
     return counted.join(own, "node").select("node", "component", (F.col("n") - F.col("copies")).alias("linked"))
 
