@@ -12,13 +12,17 @@ from tokenizers import Tokenizer
 
 from inkloom.llm import encoding, jaccard, langid, linededup, lm, packing, quality
 from inkloom.llm.bpe import ByteBpe, WordBpe
-from inkloom.llm.library import WordIds
+from inkloom.llm.library import SpacedWords, WordIds, words_in
 
 BYTE, WORD = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, n_lines int, _mark int, node int"
 ODD = ["", "  ", "a  b   c \n\n d", "x <|endoftext|> y", " lead", "it's we'll 'S", "日本語 😀 é é ΑΣ İ", "\x1c a\x1fb \x85   z", "12345 ٣", "\n", "don't\t\tstop.\r\n"]
 
 
+def words_of(text):
+    return text.encode().lower().split()
+
+
 def docs_of(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "c", 1, 2, 3) for i, t in rows], DOCS)
 
@@ -54,6 +58,22 @@ def test_distinct_words_are_encoded_as_the_library_encodes_texts():
     assert at == len(ids)
 
 
+def test_spaced_words_are_encoded_as_by_the_automaton():
+    rng = random.Random(6)
+    own, bpe = SpacedWords(BYTE), ByteBpe(BYTE)
+    noise = ["".join(rng.choice("ab cdeéß\n\t '.,!#12THEΣİ<|>日😀́\r\u2003\x85\x1c\x0b") for _ in range(rng.randint(1, 60))) for _ in range(800)]
+    given = ODD + ["a<|endoftext|>B", None, "\u2003", "x\u2003 y"] + noise
+    found, at, count = words_in(pa.array(given, pa.string()))
+    stream, sizes = own.stream(found.to_pylist(), at, count)
+    ends = np.cumsum(sizes)
+    assert (own.size, own.end) == (len(bpe.labels), len(bpe.labels) - 1)
+    assert own.begins.tolist() == [x[:1] == b" " or i == own.end for i, x in enumerate(bpe.labels)]
+    for t, a, b, n in zip(given, ends - sizes, ends, count):
+        words = words_of(t or "")
+        assert n == len(words)
+        assert stream[a:b].tolist() == [i for w in words for i in np.frombuffer(bpe._plain(" " + w.decode()), "<u4").tolist()] + [own.end], t
+
+
 def test_digests_and_round_trip(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "x"), (3, None), (1, "same"), (1, "same")]
     docs = docs_of(spark, rows)
@@ -308,14 +328,15 @@ def test_the_model_learns_pairs_of_words_from_all_texts(spark):
     rows = [(i, ("red house", "blue water")[i % 2]) for i in range(300)] + [(400, None)]
     docs = docs_of(spark, rows)
     bpe = ByteBpe(BYTE)
-    ids = lambda t: [*np.frombuffer(b"".join(lm.word_ids(bpe)[w] for w in lm.words_of(t or "")), "<i4").tolist(), len(bpe.labels) - 1]
+    ids = lambda t: [*np.frombuffer(b"".join(bpe._plain(" " + w.decode()) for w in words_of(t or "")), "<i4").tolist(), len(bpe.labels) - 1]
     want = {}
     for _, t in rows:
         for pair in zip([len(bpe.labels) - 1, *ids(t)], ids(t)):
             want[pair] = want.get(pair, 0) + 1
-    assert {divmod(r["pair"], len(bpe.labels)): r["n"] for r in lm.id_pairs(docs, BYTE).collect()} == want
+    table = lm.counted(docs, BYTE).where("pair IS NOT NULL").select("pair", "n")
+    assert {divmod(r["pair"], len(bpe.labels)): r["n"] for r in table.collect()} == want
     assert [lm.texts_to_train(n, 400) for n in (0, 40_000, 250_000, 15_000_000)] == [400, 400, 1000, 7746]
-    scorer = lm.train(docs, len(rows), BYTE, sample=1)
+    scorer = lm.train(docs, table, len(rows), BYTE, sample=1)
     score = dict(zip(texts := ["red house", "red water", "blue water", "blue house"], scorer.scores([np.array(ids(t), "i4") for t in texts])))
     assert score["red house"] > score["red water"] + 0.5 and score["blue water"] > score["blue house"] + 0.5
 
@@ -327,12 +348,12 @@ def test_language_model(spark):
     counts, held = {}, lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     for i, t in rows:
         if not held(i):
-            for w in [*lm.words_of(t or ""), None]:
+            for w in [*words_of(t or ""), None]:
                 counts[w] = counts.get(w, 0) + 1
     n, v = sum(counts.values()), len(counts)
     want = []
     for i, t in rows:
-        w = [*lm.words_of(t or ""), None]
+        w = [*words_of(t or ""), None]
         want.append((str(i), held(i), len(w), sum(x in counts for x in w), n, round(sum(math.log10((counts.get(x, 0) + 1) / (n + v + 1)) for x in w), 6)))
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == sorted(want)
     assert all(r["score"] < 0 for r in got)
