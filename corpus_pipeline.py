@@ -18,14 +18,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learnt language: those without letters, and those no language claims with at least half of the probability, go."""
-    named = langid.identify(docs, langid.train_on(docs), tuple(COLUMNS))
-    return named.where("lang_pred <> 'und' AND score >= 0.5").select(COLUMNS)
+    """Documents in a learnt language.
+
+    Those go that have no letters, that no language claims with at least half of the
+    probability, or that (of 64 characters or more) no model fits: which need a quarter
+    more bits a byte than any text of the training sample under the trees of other texts.
+    Rows without text go; null metadata and repeated rows need no care.
+    """
+    texts = langid.sample_texts(langid.lettered(docs))
+    named = langid.identify(docs, langid.train(texts) if texts else None, tuple(COLUMNS))
+    most = F.lit(1.25 * langid.usual_bits(texts) if texts else 8.0)
+    return named.where("lang_pred <> 'und' AND score >= 0.5").where((F.length("text") < 64) | (F.col("bits_per_byte") <= most)).select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the multi-line passages that stand in an earlier one; what is left of a text may not be blank."""
-    done = linededup.dedup_lines(docs.select(COLUMNS), windows=True)
+    done = linededup.dedup_lines(docs.select(COLUMNS))
     return done.where("n_removed = 0 OR text RLIKE '[^ \\\\n]'").withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 

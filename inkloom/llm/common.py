@@ -57,13 +57,15 @@ def tidied(run, forget=None):
     return wrapped
 
 
-def drawn(rows: DataFrame, share: float, seed: int, text: str = "text", longest: int = 200_000) -> DataFrame:
-    """About that share of the distinct texts of rows, for training on the driver: by a hash of the text, each once, and none of more than `longest` characters.
+def drawn(rows: DataFrame, share, seed: int, text: str = "text", longest: int = 200_000, by: tuple[str, ...] = ()) -> DataFrame:
+    """About that share (a number or a column) of the distinct texts of rows, for training on the driver.
 
-    The share is of all rows, so that repeated rows make what is drawn smaller, never larger.
+    Drawn by a hash of the text, each (text, `by`) once, and none of more than `longest`
+    characters.  The share is of all rows, so that repeated rows make what is drawn
+    smaller, never larger.
     """
     draw = F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where((draw < share) & (F.length(text) <= longest)).dropDuplicates([text])
+    return rows.where((draw < share) & (F.length(text) <= longest)).dropDuplicates([text, *by])
 
 
 def partitions(spark: SparkSession) -> int:

@@ -11,11 +11,14 @@ of its larger set, so a set enters its own band and those that hold larger partn
   most one element.  Signatures are the segments' contents, and these less any one
   element.
 
-Segments of fewer than two shingles select little and get no signature; a set that has
+Segments of fewer than two shingles select little and do not count; a set that has
 so many of them that a partner might be missed is dealt again under the next seed, as
 often as needed.  Of two partners the one that needs fewer seeds shares with the other a
-seed under which it misses nothing.  For each band the cheaper scheme is taken, by the
-rows that it makes and the pairs that its weak signatures are expected to bring.
+seed under which it misses nothing; sets that no seed serves (small ones, at low
+percentages) share a shingle, and have each of theirs as a signature besides.  For each
+band the cheaper scheme is taken, by the rows that it makes and the pairs that its weak
+signatures are expected to bring.  A set of n shingles costs m rows by whole segments and
+n + m by neighbourhoods: these pay where 2 m is more than n + m, in small bands.
 
 Classes that share a signature form a run, and runs with the same smallest class form a
 group: every pair to be found lies within a group.  A group is dealt into blocks, and each
@@ -172,14 +175,17 @@ def signatures(shingles: np.ndarray, band_no: int, band: Band, percent: int) ->
         whole = np.add.reduceat(v, first)
         place = mixed(segment[first].astype(U64) + salt)
         useful = size >= 2 if n > 1 and m > 1 else np.ones(len(size), bool)
-        out.append(mixed(whole[useful] + place[useful]))
+        # (a segment of two less one element meets a segment of one)
+        shown = useful | band.delete
+        out.append(mixed(whole[shown] + place[shown]))
         if band.delete:
             of = np.repeat(np.arange(len(first)), size)
             less = useful[of] & (size[of] >= 2)
             out.append(mixed(whole[of][less] - v[less] + place[of][less]))
         if int(useful.sum()) - spoiled >= 1:
             return np.concatenate(out)
-    raise ValueError(f"no seed of {MOST_SEEDS} serves a set of {n} shingles in {band}")
+    out.append(mixed(value + U64(band_no * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF)))
+    return np.concatenate(out)
 
 
 def describe(docs: DataFrame, n: int = 5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -247,18 +253,29 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidate_runs(docs: DataFrame, bands: list[Band], rows: int, n: int, percent: int, moved: dict[bytes, int]) -> DataFrame:
-    """Lists of classes that share a signature: (members array<bigint>), distinct within a bucket."""
+    """(group, node): the classes that share a signature, and the smallest of them, with repeats.
+
+    Copies of a class send its signatures once for each task that meets them, and runs
+    are rows, so that neither many copies nor a signature of many classes fill a row.
+    """
     spark = docs.sparkSession
     buckets = max(partitions(spark), rows // 2_000_000)
     lows = np.array([b.low for b in bands], "i8")
 
     def emit(batches):
+        met = set()
         for b in arrow_slices(batches, "text", 32 << 20):
             sigs, nodes = [], []
+            if len(met) > 500_000:
+                met.clear()
             for text in texts_of(b.column("text")):
                 s = shingle_hashes(text, n)
                 if len(s):
-                    nodes.append(class_number(xxhash.xxh3_128_digest(s.tobytes()), moved))
+                    number = class_number(xxhash.xxh3_128_digest(s.tobytes()), moved)
+                    if number in met:
+                        continue
+                    met.add(number)
+                    nodes.append(number)
                     sigs.append(np.concatenate([signatures(s, k, bands[k], percent) for k in bands_for(len(s), bands, lows, percent)]))
             if not sigs:
                 continue
@@ -281,16 +298,19 @@ def candidate_runs(docs: DataFrame, bands: list[Band], rows: int, n: int, percen
         sig = made["sig"]
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         sizes = np.diff(np.r_[starts, len(sig)])
-        seen, lists = set(), []
+        seen, runs = set(), []
         for at, k in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
             members = made["doc"][at : at + k]
             digest = xxhash.xxh3_128_digest(members.tobytes())
             if digest not in seen:
                 seen.add(digest)
-                lists.append(members)
-        return pa.table({"members": pa.array(lists, pa.list_(pa.int64()))})
+                runs.append(members)
+        many = np.array([len(x) for x in runs], "i8")
+        node = np.concatenate(runs) if runs else np.empty(0, "i8")
+        pair = np.unique(np.stack([np.repeat(node[np.cumsum(many) - many], many), node], 1), axis=0) if len(node) else np.empty((0, 2), "i8")
+        return pa.table({"group": pa.array(pair[:, 0]), "node": pa.array(pair[:, 1])})
 
-    return docs.select("text").mapInArrow(tidied(emit, forget_words), "bucket int, records binary").groupBy("bucket").applyInArrow(collide, "members array<bigint>")
+    return docs.select("text").mapInArrow(tidied(emit, forget_words), "bucket int, records binary").groupBy("bucket").applyInArrow(collide, "group bigint, node bigint")
 
 
 def spanning_links(texts: list[str], n: int, percent: int) -> list[tuple[int, int]]:
@@ -342,12 +362,11 @@ def spanning_links(texts: list[str], n: int, percent: int) -> list[tuple[int, in
     return out
 
 
-def group_links(runs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b) of classes: links that span those of all groups of runs (members array<bigint>).
+def group_links(members: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b) of classes: links that span those of all groups; members: (group, node), distinct.
 
     docs has doc_id, text and text_hash; the text of a class is that of its first document.
     """
-    members = runs.select(F.col("members")[0].alias("group"), F.explode("members").alias("node")).distinct()
     blocks = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = placed.select("group", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -391,8 +410,8 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80, by_text:
     if moved:
         classes = cut(classes.withColumn("node", F.udf(lambda x: class_number(bytes(x), moved), "bigint")("print")))
     present = keyed.where("doc_id IS NOT NULL")
-    runs = cut(candidate_runs(present, bands, rows, n, percent, moved).distinct())
-    label = components(group_links(runs, classes, present, n, percent))
+    members = cut(candidate_runs(present, bands, rows, n, percent, moved).distinct())
+    label = components(group_links(members, classes, present, n, percent))
     grouped = classes.join(label, "node", "left").select("print", F.coalesce("component", "node").alias("component"), F.col("first" if by_text else "first.doc_id").alias("lowest"))
     lowest = grouped.groupBy("component").agg(F.min("lowest").alias("component_id"))
     named = grouped.join(lowest, "component").select("print", "component_id")

@@ -149,7 +149,7 @@ def brute_bits(trees, languages, order, text):
 
 def test_language_code_lengths_are_exact():
     sample = {"aa": ["the cat sat on the mat " * 3], "bb": ["le chat était là " * 3]}
-    model = langid.train(sample, order=3, least=1)
+    model = langid.train(sample, order=3)
     trees = {}
     for lang, ts in sample.items():
         stream = b"\n" + b"\n".join(map(langid.normal, ts)) + b"\n"
@@ -160,8 +160,19 @@ def test_language_code_lengths_are_exact():
                 seen[stream[i]] = seen.get(stream[i], 0) + 1
     for text in (b"the chat sat", "là été zz".encode(), b"q" * 40):
         want = brute_bits(trees, model.languages, 3, text)
-        for segment in (5, 512):
-            assert np.allclose(langid.code_lengths(model, [b"", text], segment)[1], want, rtol=1e-4)
+        for block in (5, 512):
+            assert np.allclose(langid.code_lengths(model, [b"", b"xa", text, b""], block)[2], want, rtol=1e-12)
+
+
+def test_no_context_is_dropped():
+    rng = random.Random(12)
+    sample = {lang: ["".join(rng.choice(letters) for _ in range(60_000))] for lang, letters in (("aa", "abcdefghijklmnopqrstuvwxyz"), ("bb", "0123456789klmnopqrstuvwxyzäöü"))}
+    model = langid.train(sample)
+    contexts = {t[i : i + 3] for t in ("\n" + sample["aa"][0], ) for i in range(len(t) - 3)}
+    assert len(model.escape[3]) > 24_000 and len(contexts) > 15_000
+    text = sample["bb"][0][:50].encode()
+    assert langid.code_lengths(model, [text])[0].argmin() == 1
+    assert [bool(langid.LETTER.search(t)) for t in ("½ ²", "12", "é", "中")] == [False, False, True, True]
 
 
 def test_languages(spark):
@@ -180,28 +191,21 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in langid.predict_languages(df.where("lang IS NULL")).collect()} == {"und"}
 
 
-def brute_dedup(rows, divisor=4):
-    """What each (id, text) keeps, chunk by chunk."""
+def brute_dedup(rows):
+    """What each (id, text) keeps, going through places in their order."""
     from hashlib import md5
 
-    h = lambda x: int(md5(x.encode()).hexdigest()[:8], 16)
-    chunks, places = [], {}
-    order = lambda i, t: (i is not None, i or 0, md5(t.encode()).hexdigest())
-    for i, t in dict.fromkeys(r for r in rows if r[1] is not None):
-        lines, cut, start = t.split("\n"), [], 0
-        for k, x in enumerate(lines):
-            if (h(x) + (linededup.WEIGHT * h(lines[k - 1]) if k else 0)) % divisor == 0 or k == len(lines) - 1:
-                cut.append((start, lines[start : k + 1]))
-                start = k + 1
-        chunks.append(((i, t), cut))
-        for s, c in cut:
-            if len(c) > 1:
-                places.setdefault("\n".join(c), []).append((order(i, t), s))
-    kept = {}
-    for (i, t), cut in chunks:
-        gone = [c for s, c in cut if len(c) > 1 and min(places["\n".join(c)]) != (order(i, t), s)]
-        left = [x for s, c in cut if not (len(c) > 1 and min(places["\n".join(c)]) != (order(i, t), s)) for x in c]
-        kept[i, t] = ("\n".join(left), sum(map(len, gone)))
+    order = lambda r: (r[0] is not None, r[0] or 0, md5(r[1].encode()).hexdigest())
+    met, kept = set(), {}
+    for i, t in sorted(dict.fromkeys(r for r in rows if r[1] is not None), key=order):
+        lines, gone = t.split("\n"), set()
+        full = [k for k, x in enumerate(lines) if x.strip(" \t\r")]
+        for a, b in zip(full, full[1:]):
+            body = "\n".join(lines[a : b + 1])
+            if body in met:
+                gone |= set(range(a, b + 1))
+            met.add(body)
+        kept[i, t] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
     return [(i, None, 0) if t is None else (i, *kept[i, t]) for i, t in rows]
 
 
@@ -209,7 +213,8 @@ def test_lines(spark):
     rng = random.Random(8)
     blocks = [[f"line {rng.randint(0, 9999)}" for _ in range(rng.randint(2, 9))] for _ in range(12)]
     rows = [(i, "\n".join(x for _ in range(rng.randint(1, 4)) for x in (rng.choice(blocks) if rng.random() < 0.7 else [f"own {i} {rng.random()}"]))) for i in range(120)]
-    rows += [(200, None), (201, ""), (202, "\n\n"), (None, "\n".join(blocks[0] * 2)), (3, rows[3][1]), (4, "other"), (205, "one line")]
+    rows += [(130 + i, "\n".join(x for b in rng.sample(blocks, 3) for x in [*b[rng.randint(0, 2) :], "", f"own {rng.random()}"])) for i in range(40)]
+    rows += [(200, None), (201, ""), (202, "\n\n"), (203, "\n".join(f"long {i % 700}" for i in range(3000))), (None, "\n".join(blocks[0] * 2)), (3, rows[3][1]), (4, "other"), (205, "one line")]
     docs = docs_of(spark, rows)
     got = linededup.dedup_lines(docs).collect()
     assert sorted(map(str, ((r["doc_id"], r["text"], r["n_removed"]) for r in got))) == sorted(map(str, brute_dedup(rows)))
@@ -221,7 +226,7 @@ def test_lines(spark):
 def test_windows_take_whole_passages(spark):
     passage = [f"passage line {i}" for i in range(5)]
     rows = [(1, "\n".join(["a1", *passage, "b1"])), (2, "\n".join(["a2", "a3", *passage[:3], "", *passage[3:], "b2"])), (3, "\n".join(["a4", *passage[1:3], "b3", passage[4]])), (4, "\n".join(passage)), (5, None), (6, ""), (7, "one"), (8, "\n\n")]
-    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.dedup_lines(docs_of(spark, rows), windows=True).collect()}
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.dedup_lines(docs_of(spark, rows)).collect()}
     assert got[1] == (rows[0][1], 0) and got[3] == ("a4\nb3\npassage line 4", 2) and got[4] == ("", 5)
     assert got[2] == ("a2\na3\n\nb2", 5)
     assert [got[i] for i in (5, 6, 7, 8)] == [(None, 0), ("", 0), ("one", 0), ("\n\n", 0)]
@@ -272,6 +277,25 @@ def test_jaccard_agrees_with_all_pairs(spark, monkeypatch):
     assert [tuple(r) for r in jaccard.similar_components(docs_of(spark, [(1, None)])).collect()] == [(1, 0, 1)]
 
 
+@pytest.mark.parametrize("percent", [50, 60, 70, 90])
+def test_partners_share_a_signature_at_other_percentages(percent):
+    rng = np.random.default_rng(percent)
+    bands = [jaccard.choose(lo, hi, 1000, percent) for lo, hi in jaccard.band_edges(400, percent)]
+    lows = np.array([b.low for b in bands], "i8")
+    for size in [*range(1, 30), 40, 80, 200]:
+        for _ in range(12):
+            a = rng.integers(0, 1 << 62, size, dtype="u8")
+            keep = size
+            while keep > 1 and 100 * (keep - 1) >= percent * size:
+                keep -= 1
+            for b in (a[:keep], np.concatenate([a[:keep], rng.integers(0, 1 << 62, max(0, keep * 100 // percent - size), dtype="u8")])):
+                both, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+                if 100 * both < percent * union:
+                    continue
+                signed = [set(np.concatenate([jaccard.signatures(np.unique(x), k, bands[k], percent) for k in jaccard.bands_for(len(x), bands, lows, percent)]).tolist()) for x in (a, b)]
+                assert signed[0] & signed[1], (size, len(b))
+
+
 def test_every_id_is_scored_once():
     shape = lm.Shape(3, 5, 4)
     rng = np.random.default_rng(1)
