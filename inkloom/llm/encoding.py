@@ -37,7 +37,12 @@ def bpe_decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", keep: tupl
 
 
 def round_trip_digest(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Encode every text, decode the ids again, and return digests of both."""
+    """Encode every text, decode the ids again, and return digests of both: key, n_tokens, ids_sha256, decoded_sha256.
+
+    A null text is an empty one (no ids).  Whole texts are read, whatever their length;
+    rows are independent, so null keys, ties and repeated rows need no care; other columns
+    are not read, whatever their names.  An empty table gives no rows.
+    """
     return _mapped(docs, vocabulary, text, (key,), "n_tokens bigint, ids_sha256 string, decoded_sha256 string", _digest)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm.common import arrow_slices, texts_of, tidied
+from inkloom.llm.common import arrow_slices, drawn, texts_of, tidied
 from inkloom.llm.markup import Block, blocks_of
 
 PATH_ROWS, WORD_ROWS, PATH_SIZE, WORD_SIZE, HIDDEN_SIZE = 2048, 1024, 24, 8, 20
@@ -335,7 +335,7 @@ def train(sample: list[str], made: int = 900) -> Labeller:
 
 
 def extract(model: Labeller, pages: list[str]) -> list[str]:
-    """The main text of every page."""
+    """The main text of every page; pages without blocks, and empty ones, give an empty text."""
     out = [""] * len(pages)
     blocks = [blocks_of(p) for p in pages]
     order = sorted((i for i in range(len(pages)) if blocks[i]), key=lambda i: len(blocks[i]))
@@ -352,14 +352,14 @@ def extract(model: Labeller, pages: list[str]) -> list[str]:
 def main_text(pages: DataFrame, sample_pages: int = 300) -> DataFrame:
     """page_id, url, text and n_chars of every page (page_id, url, html).
 
-    The model is trained on the driver, on at most about sample_pages of the table.  Null
+    The model is trained on the driver, on at most about sample_pages of the table's
+    distinct pages (`drawn`: of a bounded length).  Null
     and empty pages, and pages without main text, give an empty text.  Whole pages are
     read, whatever their length; rows are independent, so repeated rows and null keys
     need no care; other columns are not read.  An empty table gives no rows.
     """
     total = pages.count()
-    draw = F.pmod(F.xxhash64("html"), F.lit(1 << 30)) / float(1 << 30)
-    sample = [r["html"] for r in pages.where(F.col("html").isNotNull() & (draw < min(1.0, sample_pages / max(1, total)))).select("html").collect()] if total else []
+    sample = [r["html"] for r in drawn(pages.select("html"), min(1.0, sample_pages / max(1, total)), 37, "html").collect()] if total else []
     shared = pages.sparkSession.sparkContext.broadcast(train(sorted(sample)) if total else None)
 
     def run(batches):

@@ -16,15 +16,15 @@ themselves are integers.
 from __future__ import annotations
 
 import heapq
-import io
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm.common import cut, tidied
+from inkloom.llm.common import cut, partitions, tidied
 
 #: Slack of the bounds over rounding errors, as a share of the lengths involved (a distance comes from a difference of squares).
 SLACK = 1e-6
@@ -34,11 +34,8 @@ class MTree:
     """Pages are rows of arrays: entries first[p]..first[p+1] belong to page p; child[e] is a page, or -1 in a leaf."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, capacity: int = 256):
-        self.ids, self.vectors = ids, vectors
-        x = vectors.astype("f8")
-        norms = (x * x).sum(1)
-        self.most = float(norms.max()) if len(x) else 0.0
-        self.points = np.concatenate([x, np.sqrt(np.maximum(0, self.most - norms))[:, None]], 1)
+        self.ids = ids
+        self._place(vectors)
         self.pages: list[tuple] = []
         rng = np.random.default_rng(len(ids))
         self.root = self._build(np.arange(len(ids)), None, capacity, rng)[0] if len(ids) else None
@@ -72,6 +69,30 @@ class MTree:
         self.pages.append((np.full(len(keep), -1), centres, (centres * centres).sum(1), np.array(radii), to_parent, np.array(children)))
         return len(self.pages) - 1, float(far.max()) if parent is not None else 0.0
 
+    def packed(self) -> bytes:
+        """The tree as bytes: vectors, and pages without what follows from the vectors."""
+        small = np.min_scalar_type(-int(np.abs(self.vectors).max())) if self.vectors.size else np.dtype("i1")
+        pages = [(rows, None if child[0] < 0 else points, None, radii, far, child) for rows, points, _, radii, far, child in self.pages]
+        return pickle.dumps((self.ids, self.vectors.astype(small), self.root, pages), protocol=5)
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> MTree:
+        tree = cls.__new__(cls)
+        tree.ids, vectors, tree.root, pages = pickle.loads(blob)
+        tree._place(vectors.astype("i8"))
+        tree.pages = []
+        for rows, points, _, radii, far, child in pages:
+            points = tree.points[rows] if points is None else points
+            tree.pages.append((rows, points, (points * points).sum(1), radii, far, child))
+        return tree
+
+    def _place(self, vectors: np.ndarray) -> None:
+        self.vectors = vectors
+        x = vectors.astype("f8")
+        norms = (x * x).sum(1)
+        self.most = float(norms.max()) if len(x) else 0.0
+        self.points = np.concatenate([x, np.sqrt(np.maximum(0, self.most - norms))[:, None]], 1)
+
     def _from(self, point: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return np.sqrt(((self.points[rows] - point) ** 2).sum(1))
 
@@ -136,46 +157,49 @@ def whole_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return fine.select("vec_id", F.transform("v", lambda c: F.floor(c * scale).cast("bigint")).alias("v"))
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, tree_rows: int = 32_768, query_rows: int = 2_048) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, tree_rows: int = 8_192, query_rows: int = 16_384) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for every row whose vec_id is divisible by `every`.
 
-    Rows are dealt by hash into trees of about tree_rows and queries into blocks of about
-    query_rows; each block searches each tree, and the k best of each tree meet in one
-    sum per query.  Neither side is broadcast.
+    Rows are dealt by hash into trees of about tree_rows, each built once and stored, and
+    queries into blocks of query_rows at most (smaller ones, as many as there are shuffle
+    partitions, while there are few); each block searches each tree in a task of its own,
+    and the k best of each tree meet in one sum per query.  Neither side is broadcast.
 
-    Vectors that are null or hold null or non-finite components take no part.  Vectors of
-    another length than the query's are not compared with it.  Equal scores: the smaller
-    vec_id; rows that repeat a vec_id count once, as their first in order of components.
-    Other columns are not read.  An empty table gives no rows.
+    Vectors that are null or hold null or non-finite components, and rows with a null
+    vec_id, take no part.  Vectors of another length than the query's are not compared
+    with it.  Equal scores: the smaller vec_id.  Rows that repeat a vec_id are candidates
+    each, but not for a query of that id; as queries they share one list of the k best of
+    all of them.  Other columns are not read.  An empty table gives no rows.
     """
-    rows = cut(whole_vectors(vectors).groupBy("vec_id", F.size("v").alias("width")).agg(F.min("v").alias("v")).drop("width"))
-    total = rows.count()
-    trees = max(1, -(-total // tree_rows))
-    blocks = max(1, -(-total // every // query_rows))
-    packed = lambda key, n: rows.select(F.struct(F.size("v").alias("width"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("part")).alias(key), "vec_id", "v")
-
-    def plant(key, part):
-        ids = part.column("vec_id").to_numpy()
-        v = _matrix(part.column("v"))
-        order = np.argsort(ids)
-        held = io.BytesIO()
-        np.savez(held, ids=ids[order], v=v[order])
-        return pa.table({"width": pa.array([v.shape[1]], pa.int32()), "part": pa.array([key[0].as_py()["part"]], pa.int64()), "blob": pa.array([held.getvalue()], pa.binary())})
+    spark = vectors.sparkSession
+    rows = whole_vectors(vectors)
+    counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
+    trees = max(1, -(-counts["n"] // tree_rows))
+    blocks = max(1, min(-(-counts["q"] // 64), max(partitions(spark), -(-counts["q"] // query_rows))))
+    key = lambda n: F.struct(F.size("v").alias("width"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("part")).alias("k")
+
+    def made(pack):
+        def run(key, part):
+            ids, v = part.column("vec_id").to_numpy(), _matrix(part.column("v"))
+            order = np.lexsort((*v.T[::-1], ids))
+            return pa.table({"width": pa.array([v.shape[1]], pa.int32()), "part": pa.array([key[0].as_py()["part"]], pa.int64()), "blob": pa.array([pack(ids[order], v[order])], pa.binary())})
+
+        return run
 
     shape = "width int, part bigint, blob binary"
-    plots = packed("k", trees).groupBy("k").applyInArrow(plant, shape)
-    asked = packed("k", blocks).where(F.col("vec_id") % every == 0).groupBy("k").applyInArrow(plant, shape)
-    pairs = asked.select("width", F.col("blob").alias("queries"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(trees - 1).cast("bigint"))).alias("part")).join(plots, ["width", "part"])
+    plots = cut(rows.select(key(trees), "vec_id", "v").groupBy("k").applyInArrow(made(lambda ids, v: MTree(ids, v).packed()), shape))
+    asked = rows.where(F.col("vec_id") % every == 0).select(key(blocks), "vec_id", "v").groupBy("k").applyInArrow(made(lambda ids, v: pickle.dumps((ids, v), protocol=5)), shape)
+    asked = asked.select("width", F.col("part").alias("block"), F.col("blob").alias("queries"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(trees - 1).cast("bigint"))).alias("part"))
+    pairs = asked.join(plots, ["width", "part"]).repartition(max(partitions(spark), min(2000, trees * blocks)), "width", "part", "block").sortWithinPartitions("width", "part")
 
     def search(batches):
         held, tree = None, None
         for b in batches:
             for queries, blob in zip(b.column("queries").to_pylist(), b.column("blob").to_pylist()):
                 if blob != held:
-                    held, data = blob, np.load(io.BytesIO(blob))
-                    tree = MTree(data["ids"], data["v"])
-                ask = np.load(io.BytesIO(queries))
-                out = [(qid, vec, score) for qid, q in zip(ask["ids"].tolist(), ask["v"]) for score, vec in tree.search(q, qid, k)[0]]
+                    held, tree = blob, MTree.unpacked(blob)
+                ids, ask = pickle.loads(queries)
+                out = [(qid, vec, score) for qid, q in zip(ids.tolist(), ask) for score, vec in tree.search(q, qid, k)[0]]
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
 
     found = pairs.select("queries", "blob").mapInArrow(tidied(search), "query_id bigint, vec_id bigint, score bigint")

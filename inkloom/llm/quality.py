@@ -1,8 +1,8 @@
 """Document quality by co-training of a text view and a metadata view.
 
-The text view is the shares of hashed token shapes (letters, capitals, digits and other
-characters, runs as one) and a few measures of the text; the metadata view is the
-language, the source and the recorded length.  Each view has a logistic regression.  In
+The text view is the shares of hashed words and of hashed token shapes (letters, capitals,
+digits and other characters, runs as one) and a few measures of the text; the metadata
+view is the language, the source and the recorded length.  Each view has a logistic regression.  In
 every round each labels the unlabelled rows it is surest of for the other, which is then
 fitted again.  The two log odds are calibrated together on labelled rows kept aside, and
 the threshold is set there so that almost no good document falls below it.
@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm.common import arrow_slices, texts_of, tidied
+from inkloom.llm.common import arrow_slices, drawn, texts_of, tidied
 
-SHAPES, TEXT_SIZE = 512, 512 + 10
+SHAPES, WORDS = 512, 512
+TEXT_SIZE = SHAPES + WORDS + 10
 LANG_ROWS, SOURCE_ROWS, LENGTH_ROWS = 32, 128, 20
 META_SIZE = LANG_ROWS + SOURCE_ROWS + LENGTH_ROWS
 
@@ -37,10 +38,12 @@ def shape(token: str) -> str:
 
 
 class ShapeRows(dict):
+    """A token's shape and word rows as one number."""
+
     def __missing__(self, token: str) -> int:
         if len(self) >= 200_000:
             self.clear()
-        out = zlib.crc32(shape(token).encode()) % SHAPES
+        out = zlib.crc32(shape(token).encode()) % SHAPES * WORDS + zlib.crc32(token.lower().encode()) % WORDS
         if len(token) <= 64:
             self[token] = out
         return out
@@ -59,12 +62,13 @@ def text_view(text: str) -> np.ndarray:
     if not tokens:
         return out
     n = len(tokens)
-    counts = np.bincount(np.fromiter(map(_ROWS.__getitem__, tokens), "i8", n), minlength=SHAPES)
-    out[:SHAPES] = np.sqrt(counts / n)
+    rows = np.fromiter(map(_ROWS.__getitem__, tokens), "i8", n)
+    out[:SHAPES] = np.sqrt(np.bincount(rows // WORDS, minlength=SHAPES) / n)
+    out[SHAPES : SHAPES + WORDS] = np.sqrt(np.bincount(rows % WORDS, minlength=WORDS) / n)
     lines, chars = text.count("\n") + 1, len(text)
     letters = sum(map(str.isalpha, tokens))
     distinct = len(set(tokens))
-    out[SHAPES:] = [
+    out[SHAPES + WORDS :] = [
         math.log1p(n) / 8, chars / n / 12, letters / n, distinct / n, min(3.0, n / lines / 20), sum(map(text.count, ".,;:")) / n,
         sum(map(str.isupper, tokens)) / n, sum(map(text.count, "!?*#$%&|")) / n, sum(map(text.count, "0123456789")) / chars, 1.0,
     ]
@@ -83,15 +87,16 @@ def meta_view(lang, source, n_chars) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 250) -> np.ndarray:
     """Logistic regression (last entry: bias) by accelerated gradient descent."""
-    x = np.concatenate([x, np.ones((len(x), 1), "f4")], 1).astype("f8")
-    w = np.zeros(x.shape[1])
+    x = np.concatenate([x, np.ones((len(x), 1), "f4")], 1)
+    weight, y = weight.astype("f4"), y.astype("f4")
+    w = np.zeros(x.shape[1], "f4")
     look, pace = w.copy(), 1.0
-    rate = 4 / max(1e-9, np.einsum("ij,ij,i->", x, x, weight) / weight.sum())
+    rate = 4 / max(1e-9, float(np.einsum("ij,ij,i->", x, x, weight) / weight.sum()))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ look, -40, 40)))
-        new = look - rate * (x.T @ (weight * (p - y)) / weight.sum() + ridge * look * np.r_[np.ones(len(w) - 1), 0])
+        new = look - rate * (x.T @ (weight * (p - y)) / weight.sum() + ridge * look * np.r_[np.ones(len(w) - 1, "f4"), np.float32(0)])
         faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
-        look = new + (pace - 1) / faster * (new - w)
+        look = new + np.float32((pace - 1) / faster) * (new - w)
         w, pace = new, faster
     return w
 
@@ -152,7 +157,12 @@ def co_train(text: np.ndarray, meta: np.ndarray, label: np.ndarray, rounds: int
 
 
 def train_on(docs: DataFrame, labels: DataFrame, labelled: int = 4000, unlabelled: int = 4000) -> CoTrained | None:
-    """A model from about `labelled` labelled and `unlabelled` other documents, chosen by a hash of doc_id; None without labels of both kinds."""
+    """A model from about `labelled` labelled documents, chosen by a hash of doc_id, and `unlabelled` others (`drawn`); None without labels of both kinds.
+
+    Of rows that repeat a doc_id the one with the smallest text is learnt from, and texts
+    of more than 200,000 characters are not.  What is labelled here, the rows kept for
+    calibration among them, is not in the pool.
+    """
     kinds = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
     counts = kinds.agg(F.count("*").alias("n"), F.min("_quality").alias("lo"), F.max("_quality").alias("hi")).first()
     if not counts["n"] or counts["lo"] == counts["hi"]:
@@ -160,11 +170,13 @@ def train_on(docs: DataFrame, labels: DataFrame, labelled: int = 4000, unlabelle
     total = docs.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / float(1 << 30)
     some = kinds.where(draw < min(1.0, labelled / counts["n"]))
-    known = docs.where(draw < min(1.0, labelled / counts["n"])).join(some, "doc_id").withColumn("_label", F.when(F.col("_quality") > 0, 1).otherwise(0))
-    # (a hash of its own for the pool: what is labelled there serves as unlabelled)
-    other = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
-    pool = docs.where(other < min(1.0, unlabelled / max(1, total))).withColumn("_label", F.lit(-1))
-    columns = ["doc_id", "text", "lang", "source", "n_chars", "_label"]
+    rest = ["text", "lang", "source", "n_chars"]
+    read = docs.select("doc_id", *rest).where((F.length("text") <= 200_000) | F.col("text").isNull())
+    known = read.where(draw < min(1.0, labelled / counts["n"])).join(some, "doc_id").groupBy("doc_id", "_quality").agg(F.min(F.struct(*rest)).alias("r"))
+    known = known.select("doc_id", "r.*", F.when(F.col("_quality") > 0, 1).otherwise(0).alias("_label"))
+    # (a hash of its own for the pool: what is labelled and not drawn above serves as unlabelled)
+    pool = drawn(read, min(1.0, unlabelled / max(1, total)), 29).join(some.select("doc_id"), "doc_id", "left_anti").withColumn("_label", F.lit(-1))
+    columns = ["doc_id", *rest, "_label"]
     rows = known.select(columns).unionByName(pool.select(columns))
 
     def view(batches):

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -53,6 +54,21 @@ def test_near_vectors(spark, cloud, monkeypatch):
     assert vectors.near_duplicates(vectors_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("rotations", [2, 3, 4])
+@pytest.mark.parametrize("cosine", [0.951, 0.97])
+def test_buckets_find_near_pairs(rotations, cosine):
+    rng = np.random.default_rng(rotations)
+    x = vectors._unit(rng.normal(size=(300, 64)))
+    side = rng.normal(size=x.shape)
+    side = vectors._unit(side - (side * x).sum(1, keepdims=True) * x)
+    y = cosine * x + math.sqrt(1 - cosine * cosine) * side
+    found = np.zeros(len(x), bool)
+    for table in range(8 * 2 ** (rotations - 2)):
+        a, b = (vectors.buckets_of(z, table, rotations) for z in (x, y))
+        found |= (a[:, :, None] == b[:, None, :]).any((1, 2))
+    assert found.mean() >= 0.98
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(vectors.rotated(x, 3), axis=1), np.linalg.norm(x, axis=1))
@@ -70,13 +86,23 @@ def test_top_k(spark, cloud, tree_rows):
     assert metric.top_k(vectors_of(spark, [])).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_candidates_each(spark):
+    rows = [(0, [1, 0]), (1, [2, 0]), (1, [3, 1]), (1, [3, 1]), (2, [1, 1]), (5, [0, 2]), (5, [1, 0])]
+    got = metric.top_k(vectors_of(spark, rows), k=4, every=5).collect()
+    want = []
+    for q in (0, 5):
+        scores = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(x, y)), j) for i, x in rows if i == q for j, y in rows if j != q)[:4]
+        want += [(q, k + 1, j, -s) for k, (s, j) in enumerate(scores)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_tree_prunes_what_is_far():
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(40, 8)) * 4000
     rows = (centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 8)) * 20).astype("i8")
     norms = np.sqrt((rows * rows).sum(1))
     rows = (rows * (30000 / norms)[:, None]).astype("i8")
-    tree = metric.MTree(np.arange(4000), rows, capacity=32)
+    tree = metric.MTree.unpacked(metric.MTree(np.arange(4000), rows, capacity=32).packed())
     for q in range(0, 4000, 400):
         best, computed = tree.search(rows[q], q, 5)
         s = rows @ rows[q]
@@ -123,6 +149,29 @@ def test_hidden_elements_without_end():
     assert texts("<p>one</p><script>var x = '<p>two</p>'") == ["one"]
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<a \"", "<a b=\">\" ", "<svg>", "<div>x", "<b>", "</x><div>", "<!-", "&amp", "<a '>\"", "</svg "])
+def test_long_broken_pages_take_time_in_proportion(piece):
+    def took(n):
+        page = "<p>start</p>" + piece * n
+        best = math.inf
+        for _ in range(3):
+            begun = time.process_time()
+            blocks = blocks_of(page)
+            best = min(best, time.process_time() - begun)
+        assert blocks[0].text == "start" and all(len(b.path) <= 64 for b in blocks)
+        return best
+
+    took(100)
+    assert took(80_000) < 0.5 + 30 * took(8_000)
+
+
+def test_quotes_formulas_and_comments():
+    texts = lambda page: [b.text for b in blocks_of(page)]
+    assert texts('<p title="a > b">one</p><p title=\'x">two</p>') == ["one", "two"]
+    assert texts("<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p><!-- <p>no</p> --><p>3 < 4 <5</p>") == ["let x=2 be", "3 < 4 <5"]
+    assert texts("<object><p>shown instead</p></object><select><option>a</select><p>end") == ["shown instead", "end"]
+
+
 def test_gradients_are_those_of_the_loss():
     model = extraction.Labeller(1)
     pages = extraction.training_pages(3, 5)
