@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 #: Ends of lines as str.splitlines has them.
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
-#: Stands around matches while they are rewritten; input may not hold it.
-EDGE = "\x01"
 
 
 def like(x: Column, pattern: str, flags: str = "") -> Column:
@@ -38,9 +36,17 @@ def blank(x: Column) -> Column:
 
 
 def rewrite(x: Column, pattern: str, change: Callable[[Column], Column], flags: str = "") -> Column:
-    """x with each match replaced by change(match): matches are fenced off, split out, changed by index and joined."""
-    parts = F.split(sub(x, f"(?:{pattern})", EDGE + "$0" + EDGE, flags), EDGE, -1)
-    return F.when(like(x, pattern, flags), F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, change(p)).otherwise(p)), "")).otherwise(x)
+    """x with each match replaced by change(match): what stands between matches is joined with the changed matches."""
+    between = F.split(x, f"(?U{flags})(?:{pattern})", -1)
+    joined = F.zip_with(between, all_matches(x, pattern, 0, flags), lambda p, m: F.concat(p, F.coalesce(change(m), F.lit(""))))
+    return F.when(like(x, pattern, flags), F.array_join(joined, "")).otherwise(x)
+
+
+def pieces(x: Column, pattern: str, flags: str = "") -> Column:
+    """What stands between matches and the matches in turn, the matches at odd places."""
+    between = F.split(x, f"(?U{flags})(?:{pattern})", -1)
+    pairs = F.zip_with(between, all_matches(x, pattern, 0, flags), lambda p, m: F.filter(F.array(p, m), lambda y: y.isNotNull()))
+    return F.flatten(pairs)
 
 
 def literal(text: str) -> str:

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions import rules
-from inkloom.functions.text import all_matches, blank, group, like, one_of, strip, sub
+from inkloom.functions.text import all_matches, blank, group, like, one_of, pieces, strip, sub
 from inkloom.operators.lines import by_line, tick_fence_state
 
+# (messages and severities of all detectors are fixed values: reports are compared by them)
 SCHEMA = "detector string, severity string, file string, line int, message string, snippet string, extra string"
 RANK = {"info": 0, "warn": 1, "error": 2}
 
@@ -103,8 +104,8 @@ def hyphen_break_artifact(lines: DataFrame) -> DataFrame:
 def compound_unglue_regression(lines: DataFrame, tokens=tuple(rules.GLUED_TOKENS)) -> DataFrame:
     """Glued tokens whose surroundings of 20 characters are not of an address or a path."""
     pattern = rf"(?<![/\\.\-])\b(?:{one_of(tokens)})\b(?![/\\.\-])"
-    pieces = F.split(sub(F.col("line"), pattern, "\x01$0\x01"), "\x01", -1)
-    f = lines.where(like(F.col("line"), pattern)).select("doc", "line_no", "line", F.posexplode(pieces).alias("i", "m"), pieces.alias("ps")).where("i % 2 = 1")
+    parts = pieces(F.col("line"), pattern)
+    f = lines.where(like(F.col("line"), pattern)).select("doc", "line_no", "line", F.posexplode(parts).alias("i", "m"), parts.alias("ps")).where("i % 2 = 1")
     before = F.expr("right(array_join(slice(ps, 1, i), ''), 20)")
     after = F.expr("left(array_join(slice(ps, i + 2, size(ps)), ''), 20)")
     window = F.concat(before, F.col("m"), after)
@@ -254,13 +255,18 @@ EPUB = {
 
 
 def audit(lines: DataFrame | None = None, tables: dict[str, DataFrame] | None = None, only: list[str] | None = None) -> DataFrame:
-    """Findings of all detectors, or of those named, over lines and over facts; unknown names select nothing."""
+    """Findings of all detectors, or of those named, over lines and over facts; unknown names select nothing.
+
+    Lines are held while the detectors read them; `release` of the returned frame lets them go.
+    """
     spark = (lines if lines is not None else next(iter((tables or {}).values()))).sparkSession
     if lines is not None:
         lines = lines.persist()  # read by each detector
     parts = [f(lines) for n, f in MD.items() if lines is not None and (only is None or n in only)]
     parts += [f(tables) for n, f in EPUB.items() if tables and (only is None or n in only)]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCHEMA)
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCHEMA)
+    found.release = lines.unpersist if lines is not None else lambda: None
+    return found
 
 
 def exit_code(findings: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions import rules
-from inkloom.functions.text import all_matches, group, like, strip, sub
+from inkloom.functions.markdown import to_xhtml
+from inkloom.functions.text import all_matches, group, like, rewrite, strip, sub
 from inkloom.operators.lines import by_line, fence_state, markers_before
 
 FENCE_LINE = r"^\s*(```+|~~~+)"
@@ -141,11 +143,31 @@ def merge_parts(parts: DataFrame) -> DataFrame:
     return parts.withColumn("text", text).groupBy("doc").agg(F.expr("listagg(text, '\\n\\n') WITHIN GROUP (ORDER BY part)").alias("text"))
 
 
+def build_name(stem: Column) -> Column:
+    """The name of a document's build folder: separators become underscores; null where nothing but dots is left."""
+    name = strip(F.translate(stem, "/\\", "__"))
+    return F.when(~name.isin("", ".", ".."), name)
+
+
+#: Targets of links and images, and (fixed value) absolute paths of extracted images.
+IMAGE_PATH = r"(?i:(?:[A-Za-z]:[\\/]|/)[^)\r\n]*?image_[0-9]+_[0-9a-f]+\.png)|(?<=\]\()[^)\s]+(?=\))"
+
+
 def absorb_images(lines: DataFrame, images: DataFrame, folder: str = "doc_artifacts") -> DataFrame:
-    """Image paths whose file name is among the images (doc, name) point into the folder, prefixed by the document's number."""
-    path = r"(?<=\]\()([^)\s]*?)([^)\s/\\]+)(?=\))"
-    found = lines.withColumn("name", group(F.col("line"), r"!\[[^\]]*\]\((?:[^)\s]*[/\\])?([^)\s/\\]+)\)"))
-    known = images.select("doc", "name", F.lit(True).alias("known")).distinct()
-    target = F.concat(F.lit(folder + "/"), F.format_string("c%04d_", F.col("doc").cast("int")), F.col("name"))
-    moved = F.regexp_replace(F.col("line"), F.lit(path), F.concat(F.regexp_replace(target, r"([\\$])", r"\\$1")))
-    return found.join(known, ["doc", "name"], "left").select("doc", "line_no", F.when(F.col("known"), moved).otherwise(F.col("line")).alias("line"))
+    """Each path whose file name is among the images (doc, name) points into the folder, prefixed by the document's number."""
+    name = lambda m: F.regexp_replace(F.replace(m, F.lit("\\"), F.lit("/")), "^.*/", "")
+    named = lines.select("doc", "line_no", F.explode(F.array_distinct(F.transform(all_matches(F.col("line"), IMAGE_PATH), name))).alias("name"))
+    known = named.join(images.select("doc", "name").distinct(), ["doc", "name"], "left_semi").groupBy("doc", "line_no").agg(F.collect_set("name").alias("_names"))
+    place = lambda m: F.concat(F.lit(folder + "/"), F.format_string("c%04d_", F.col("doc").cast("int")), name(m))
+    moved = rewrite(F.col("line"), IMAGE_PATH, lambda m: F.when(F.array_contains("_names", name(m)), place(m)).otherwise(m))
+    return lines.join(known, ["doc", "line_no"], "left").select("doc", "line_no", F.when(F.col("_names").isNotNull(), moved).otherwise(F.col("line")).alias("line"))
+
+
+def render(texts: DataFrame, text: str = "text") -> DataFrame:
+    """texts with `xhtml`: the markdown column as the body of a page.  A document's text is rendered whole; null gives an empty body."""
+
+    @F.pandas_udf("string")
+    def rendered(x: pd.Series) -> pd.Series:
+        return x.map(to_xhtml, na_action=None)
+
+    return texts.withColumn("xhtml", rendered(F.col(text)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkloom.functions.text import all_matches, strip
+from inkloom.functions.text import all_matches, pieces, strip
 from inkloom.operators.lines import fence_mask
 
 SEGMENT = r"`+[^`]*`+|\$\$.+?\$\$"
@@ -15,16 +17,19 @@ def harvest(nodes: DataFrame, depth: int = 64) -> DataFrame:
     """(doc, ord, node, page_no, ...) of formulas in reading order.
 
     nodes: doc, node, parent (null under the body), pos (place among its siblings), label,
-    text, page_no, has_box.  The tree is walked by a recursive query that carries each
-    node's path; formulas without text or box are left out.
+    text, page_no, has_box.  The tree is walked level by level, by one join for each, which
+    carry every node's path; a tree of more than `depth` levels is an error.  Formulas
+    without text or box are left out.
     """
-    nodes.createOrReplaceTempView("_layout_nodes")
-    tree = nodes.sparkSession.sql(
-        f"""WITH RECURSIVE walk (doc, node, path, d) MAX RECURSION LEVEL {depth} AS (
-          SELECT doc, node, array(pos) AS path, 0 AS d FROM _layout_nodes WHERE parent IS NULL
-          UNION ALL SELECT n.doc, n.node, concat(w.path, array(n.pos)), w.d + 1 FROM _layout_nodes n JOIN walk w ON n.doc = w.doc AND n.parent = w.node)
-        SELECT doc, node, path FROM walk"""
-    )
+    level = nodes.where("parent IS NULL").select("doc", "node", F.array("pos").alias("path"))
+    levels = [level]
+    while not level.isEmpty():
+        if len(levels) > depth:
+            raise ValueError(f"a layout tree has more than {depth} levels")
+        above = level.select("doc", F.col("node").alias("parent"), F.col("path").alias("_above"))
+        level = nodes.join(above, ["doc", "parent"]).select("doc", "node", F.concat("_above", F.array("pos")).alias("path"))
+        levels.append(level)
+    tree = reduce(DataFrame.unionByName, levels[:-1] or levels)
     found = nodes.join(tree, ["doc", "node"]).where((F.col("label") == "formula") & F.col("has_box") & (strip(F.coalesce("text", F.lit(""))) != ""))
     return found.withColumn("ord", F.row_number().over(Window.partitionBy("doc").orderBy("path")) - 1).select("doc", "ord", "node", "page_no", "text")
 
@@ -64,6 +69,14 @@ def image_fallback(lines: DataFrame, boxes: DataFrame, can_render=renders, prefi
     swap = seg.join(judged, "body").where("NOT ok").join(usable, ["doc", "ord"], "left_semi")
     per_line = swap.groupBy("doc", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.format_string(f"![]({folder}/{prefix}_%04d.png)", "ord")))).alias("by_pos"))
     f = lines.join(per_line, ["doc", "line_no"], "left")
-    pieces = F.split(F.regexp_replace("line", f"(?U)(?:{SEGMENT})", "\x01$0\x01"), "\x01", -1)
-    made = F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.coalesce(F.element_at("by_pos", F.floor((i - 1) / 2).cast("int")), p)).otherwise(p)), "")
+    made = F.array_join(F.transform(pieces(F.col("line"), SEGMENT), lambda p, i: F.when(i % 2 == 1, F.coalesce(F.element_at("by_pos", F.floor((i - 1) / 2).cast("int")), p)).otherwise(p)), "")
     return f.select("doc", "line_no", F.when(F.col("by_pos").isNotNull(), made).otherwise(F.col("line")).alias("line"))
+
+
+BOX = "struct<page_no: int, bbox: struct<l: double, t: double, r: double, b: double>, coord_origin: string, page_w: double, page_h: double, orig: string>"
+
+
+def read_boxes(sidecars: DataFrame, key: str = "doc", text: str = "json") -> DataFrame:
+    """(key, ord, page_no, l, t, r, b, origin, page_w, page_h, text) of sidecars, each a JSON array of formula boxes; what is no such array has none."""
+    boxes = sidecars.select(key, F.posexplode(F.from_json(text, f"array<{BOX}>")).alias("ord", "x"))
+    return boxes.select(key, "ord", "x.page_no", "x.bbox.*", F.col("x.coord_origin").alias("origin"), "x.page_w", "x.page_h", F.col("x.orig").alias("text"))

@@ -32,7 +32,7 @@ def safe_keys(pairs: DataFrame, stop=tuple(rules.STOP_TEXTS)) -> DataFrame:
     """Pairs whose text is neither a stop text (anti-join) nor one short word."""
     spark = pairs.sparkSession
     named = pairs.withColumn("norm", norm_text(F.col("text")))
-    kept = named.join(F.broadcast(spark.createDataFrame([(w,) for w in stop], "norm string")), "norm", "left_anti")
+    kept = named.join(spark.createDataFrame([(w,) for w in stop], "norm string"), "norm", "left_anti")
     return kept.where(F.col("norm").contains(" ") | (F.length("norm") >= 6))
 
 

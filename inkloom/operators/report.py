@@ -91,3 +91,20 @@ def metadata_yaml(title: Column, authors: Column, language: Column, publisher: C
         F.when(given(producer), F.concat(F.lit("contributor:\n  - role: bkp\n    text: "), quoted(producer))), F.lit("---\n"),
     ]
     return F.concat_ws("\n", *lines)
+
+
+def hexagon(cx: Column, cy: Column, r: Column, turn: Column) -> Column:
+    """The six corners (x, y) of a hexagon, turned by degrees."""
+    corner = lambda i: F.radians(i * 60 + turn)
+    return F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.struct((cx + r * F.cos(corner(i))).alias("x"), (cy + r * F.sin(corner(i))).alias("y")))
+
+
+def gradient(y: Column, height: Column, top: Column, bottom: Column) -> Column:
+    """The colour of a row of a cover, between two colours (arrays of three)."""
+    share = y / height
+    return F.zip_with(top, bottom, lambda a, b: F.floor(a * (1 - share) + b * share).cast("int"))
+
+
+def centred(width: Column, text_width: Column) -> Column:
+    """Where a text of a width begins to stand in the middle."""
+    return F.floor((width - text_width) / 2).cast("int")

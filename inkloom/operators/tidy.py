@@ -10,7 +10,11 @@ from inkloom.functions.text import blank, group, like, literal, one_of, rewrite,
 from inkloom.operators.lines import by_line, fence_mask
 
 BEFORE = (Window.unboundedPreceding, -1)
-AFTER = (1, Window.unboundedFollowing)
+
+
+def _below(value: Column) -> Column:
+    """The first value that is not null below a line: the last one before it in falling order, which one pass finds."""
+    return F.last(value, True).over(Window.partitionBy("doc").orderBy(F.col("line_no").desc()).rowsBetween(*BEFORE))
 
 
 def _changed(lines: DataFrame, value: Column) -> DataFrame:
@@ -82,6 +86,7 @@ def indent_lettered(lines: DataFrame) -> DataFrame:
     return _changed(lines, sub(F.col("line"), r"^- ([a-z])\.\s+(.+)$", "  - $1. $2"))
 
 
+# fixed values: patterns of numbered headings, of chapter numbers and of headings in capitals
 DOTTED = r"^(#{1,6})\s+(\d{1,2})((?:\.\d+)+)\s+(\S.*?)\s*$"
 CHAPTER = r"^#{1,6}\s+0*(\d{1,2})(?:\s+(\S.*?))?\s*$"
 CAPITALS = r"^#{1,6}\s+([A-Z][A-Z &-]{2,})\s*$"
@@ -90,7 +95,7 @@ CAPITALS = r"^#{1,6}\s+([A-Z][A-Z &-]{2,})\s*$"
 def number_chapters(lines: DataFrame, doc_title: str | None = None, min_sections: int = 4, min_majors: int = 2) -> DataFrame:
     """The heading hierarchy of a numbered book, rebuilt from its numbers; other documents stay as they are."""
     w = by_line()
-    before, after = w.rowsBetween(*BEFORE), w.rowsBetween(*AFTER)
+    before = w.rowsBetween(*BEFORE)
     whole = Window.partitionBy("doc")
     x = F.col("line")
     f = fence_mask(lines)
@@ -98,11 +103,11 @@ def number_chapters(lines: DataFrame, doc_title: str | None = None, min_sections
     f = f.withColumn("_dot", F.when(free & like(x, DOTTED), F.struct(group(x, DOTTED, 2).cast("int").alias("major"), F.least(F.lit(6), F.length(group(x, DOTTED, 3)) - F.length(F.regexp_replace(group(x, DOTTED, 3), r"\.", "")) + 1).alias("level"), F.col("line_no").alias("at"))))
     f = f.withColumn("_caps", F.when(free & like(x, CAPITALS), strip(group(x, CAPITALS))))
     f = f.withColumn("_majors", F.collect_set("_dot.major").over(whole)).withColumn("_book", (F.count("_dot").over(whole) >= min_sections) & (F.size("_majors") >= min_majors))
-    f = f.withColumn("_prev", F.last("_dot", True).over(before)).withColumn("_next", F.first("_dot", True).over(after))
+    f = f.withColumn("_prev", F.last("_dot", True).over(before)).withColumn("_next", _below(F.col("_dot")))
     caps_at = F.when(F.col("_caps").isNotNull(), F.col("line_no"))
-    f = f.withColumn("_caps_at", F.first(caps_at, True).over(after))
+    f = f.withColumn("_caps_at", _below(caps_at))
     shown = F.when(~blank(x), F.struct(F.col("line_no").alias("at"), F.col("_caps").alias("caps")))
-    f = f.withColumn("_below", F.first(shown, True).over(after))
+    f = f.withColumn("_below", _below(shown))
     head = F.col("_book") & free & x.startswith("#")
     number, tail = group(x, CHAPTER, 1).try_cast("int"), strip(group(x, CHAPTER, 2))
     chapter = head & like(x, CHAPTER) & F.coalesce(F.array_contains("_majors", number), F.lit(False))
@@ -133,7 +138,7 @@ def heal_list_gaps(lines: DataFrame) -> DataFrame:
     x = F.col("line")
     item = F.when(~blank(x), F.struct(like(x, rules.LIST_ITEM).alias("is"), group(x, rules.LIST_ITEM).alias("indent")))
     f = lines.withColumn("_i", item)
-    f = f.withColumn("_a", F.last("_i", True).over(by_line().rowsBetween(*BEFORE))).withColumn("_b", F.first("_i", True).over(by_line().rowsBetween(*AFTER)))
+    f = f.withColumn("_a", F.last("_i", True).over(by_line().rowsBetween(*BEFORE))).withColumn("_b", _below(F.col("_i")))
     gap = F.col("_i").isNull() & F.coalesce(F.col("_a.is") & F.col("_b.is") & (F.col("_a.indent") == F.col("_b.indent")), F.lit(False))
     return f.where(~gap).select("doc", "line_no", "line")
 
@@ -148,7 +153,7 @@ def heal_sentences(lines: DataFrame) -> DataFrame:
     """An unfinished line takes up the next paragraph if that begins in lower case; of a run of such joins every other holds."""
     x, w = F.col("line"), by_line()
     f = lines.withColumn("_row", F.row_number().over(w)).withColumn("_full", ~blank(x))
-    f = f.withColumn("_next", F.first(F.when(F.col("_full"), F.struct("_row", "line")), True).over(w.rowsBetween(*AFTER)))
+    f = f.withColumn("_next", _below(F.when(F.col("_full"), F.struct("_row", "line"))))
     ends = "|".join(literal(e) for e in rules.SENTENCE_ENDS)
     nxt = F.col("_next.line")
     edge = F.col("_full") & ~structural(x) & ~like(x, rf"(?:{ends})\s*$") & (F.col("_next._row") > F.col("_row") + 1)

@@ -117,6 +117,10 @@ SQL["report_md"] = f"{ALL} SELECT detector, count(*) AS n, count(*) FILTER (WHER
 QUERIES["report_text"] = lambda s, d: R.text_lines(findings(s, d))
 SQL["report_text"] = f"{ALL} SELECT detector, file, line, '[' || rpad(upper(severity), 5, ' ') || '] ' || detector || ' @ ' || coalesce(file, '?') || coalesce(':' || line, '') || ' — ' || message || CASE WHEN coalesce(snippet, '') <> '' THEN chr(10) || '    | ' || replace(snippet, chr(10), chr(10) || '    | ') ELSE '' END AS report FROM findings"
 QUERIES["report_json"] = lambda s, d: R.json_rows(findings(s, d))
+FIELD = lambda name, x: f"CASE WHEN {x} IS NULL THEN '' ELSE ',\"{name}\":' || to_json({x}) END"
+ROW = "'{\"detector\":' || to_json(detector) || " + " || ".join(FIELD(n, n) for n in ("severity", "file", "line", "message", "snippet", "extra")) + " || '}'"
+ORDER = ", ".join(f"{n} NULLS FIRST" for n in ("detector", "severity", "file", "line", "message", "snippet", "extra"))
+SQL["report_json"] = f"{ALL} SELECT file, '[' || string_agg({ROW}, ',' ORDER BY {ORDER}) || ']' AS json FROM findings GROUP BY file"
 QUERIES["detector_catalog"] = lambda s, d: R.catalogue(s)
 SQL["detector_catalog"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', '{k}', '{_q(t)}', '  - {n}: {_q(t)}')" for i, (n, k, t) in enumerate(rules.DETECTORS)) + ") AS v(ord, detector, kind, description, entry)"
 # metadata and page templates, over the pages table

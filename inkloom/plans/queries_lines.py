@@ -164,3 +164,23 @@ add("promote_numbered_chapters", _pass(T.number_chapters))
 add("tidy", lambda s, d: T.tidy(md_lines(s, d), math=True).select("doc", "line_no", "line"))
 add("tidy_generic", lambda s, d: T.tidy(md_lines(s, d), "generic").select("doc", "line_no", "line"))
 add("tidy_text", lambda s, d: L.to_text(T.tidy(md_lines(s, d))))
+
+
+def _chained(names: list[str], out: str = "SELECT doc, line_no, line FROM md") -> str:
+    """SQL of passes one after another, each over what the one before gives."""
+    begin = f"WITH {DUCK_LINES}"
+    for name in names:
+        step = ONE_TITLE if name == "consolidate_title" else SQL[name]
+        out = f"WITH md AS MATERIALIZED (SELECT doc, line_no, line FROM ({out})){step.removeprefix(begin)}"
+    return f"WITH {DUCK_LINES} SELECT doc, line_no, line FROM ({out})"
+
+
+# without a title given, the first line that matches becomes the title as it stands
+ONE_TITLE = f"""WITH {DUCK_LINES}, t AS (SELECT *, regexp_matches(line, '(?i){_q(rules.TITLE)}') AS hit, sum(CASE WHEN regexp_matches(line, '(?i){_q(rules.TITLE)}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line_no) AS n FROM md)
+SELECT doc, line_no, CASE WHEN hit THEN '# ' || trim(regexp_replace(line, '^#+', '')) ELSE line END AS line FROM t WHERE NOT hit OR n = 1"""
+AWS = (
+    "strip_toc strip_chunk_dividers strip_orphan_dashes strip_orphan_page_numbers consolidate_title promote_pillars demote_subsections indent_lettered_sublists heal_list_gaps heal_hyphen_breaks "
+    "heal_broken_sentences fix_digit_headings un_glue_compounds heal_intra_word_spaces strip_emphasis_inner_space space_markdown_adjacency strip_emphasis_inner_space strip_placeholder_image_alt normalize_relative_links apply_corpus_fixes"
+).split()
+SQL["tidy"] = _chained([*AWS, "wrap_aligned_math", "escape_prose_dollars"])
+SQL["tidy_text"] = f"SELECT doc, string_agg(line, chr(10) ORDER BY line_no) || chr(10) AS text FROM ({_chained(AWS)}) GROUP BY doc"

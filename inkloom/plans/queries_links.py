@@ -12,7 +12,7 @@ from inkloom.operators import lines as LN
 from inkloom.operators import links as L
 from inkloom.operators import refs as R
 from inkloom.operators import tidy as T
-from inkloom.plans.queries_lines import _fenced, _in, _q, _rewritten, _table
+from inkloom.plans.queries_lines import _chained, _fenced, _in, _q, _rewritten, _table
 from inkloom.sources import pages as P
 from inkloom.sources.fixtures import DUCK_LINES, PAIRS, duck_facts, facts, link_pairs, md_lines
 
@@ -148,16 +148,6 @@ add("html_facts", lambda s, d: P.html_facts(_table(s, d, "pages")))
 add("html_hrefs", lambda s, d: P.html_facts(_table(s, d, "pages")).where("kind = 'href'").select("page_id", "value"), "SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS value FROM pages")
 add("html_blocks", lambda s, d: P.html_blocks(_table(s, d, "pages")))
 add("main_content_extract", lambda s, d: P.main_content(_table(s, d, "pages")))
-add("resolve_relative", lambda s, d: _hrefs_resolved(s, d), "SELECT page_id, 'x/y' || '/m.html' AS dropped, 'x/y/m.html' AS kept_up, 'm.html' AS at_root, '../m.html' AS up_kept FROM pages")
-
-
-def _hrefs_resolved(s, d):
-    from inkloom.operators.audit import resolved
-
-    one = lambda base, href, up: resolved(F.lit(base), F.lit(href), up)
-    return _table(s, d, "pages").select("page_id", one("x/z", "../y/./m.html", False).alias("dropped"), one("x/z", "../y//m.html", True).alias("kept_up"), one("", "../m.html", False).alias("at_root"), one("", "../m.html", True).alias("up_kept"))
-
-
 # --- formulas
 def boxes(s, d):
     item = _table(s, d, "lineitem")
@@ -235,3 +225,12 @@ SQL["formula_align"] = f"""WITH {DUCK_LINES}, swap AS (SELECT doc, line_no, map(
   AND NOT ({BRACES} AND NOT ((contains(body, '&') OR contains(body, chr(92) || chr(92))) AND NOT contains(body, chr(92) || 'begin{{'))) GROUP BY doc, line_no),
 p AS (SELECT md.doc, md.line_no, md.line, s.m, string_split_regex(line, '{SEG}') AS ps, regexp_extract_all(line, '{SEG}') AS ms FROM md LEFT JOIN swap s ON s.doc = md.doc AND s.line_no = md.line_no)
 SELECT doc, line_no, CASE WHEN m IS NULL THEN line ELSE array_to_string(list_transform(list_zip(ps, list_append(list_transform(ms, lambda x, i: CASE WHEN m[CAST(i - 1 AS INT)] IS NOT NULL THEN '![](media/formula_' || lpad(CAST(m[CAST(i - 1 AS INT)] AS VARCHAR), 4, '0') || '.png)' ELSE x END), '')), lambda z: z[1] || z[2]), '') END AS line FROM p"""
+PAD = "text || repeat('x', greatest(0, 230 - length(text)))"
+CODE = r"(contains(p, '{') AND contains(p, '}')) OR contains(p, ';') OR regexp_matches(p, '\n[ \t]{2,}\S') OR regexp_matches(p, '(?m)^\s*[A-Za-z_][A-Za-z0-9_-]*\s*:\s*\S') OR regexp_matches(p, '(?m)^\s*\$\s+\S') OR regexp_matches(p, '(?m)^\s*#(?:SBATCH|PBS|!/)\b') OR regexp_matches(p, '(?m)^\s*(?:aws|sudo|source|cd|export|srun|sbatch|docker|kubectl|git|terraform|cdk|sam|npm|yarn)\s+\S')"
+SQL["fence_inline_code"] = f"""SELECT item_id, 'a ' || chr(10) || chr(10) || '```json' || chr(10) || '{{' || chr(10) || '"k": 1}}' || chr(10) || '```' || chr(10) || chr(10) || ' b plain' || chr(10) || 'prose c ' || CASE WHEN contains(p, chr(10)) AND NOT ({CODE}) THEN p
+ELSE chr(10) || chr(10) || '```' || CASE WHEN regexp_matches(trim(p), '(?s)^[{{\\[].*[}}\\]]$') THEN 'json' WHEN regexp_matches(trim(p), '(?s)^<.*>') THEN 'xml' WHEN regexp_matches(p, 'aws |sudo |\\$ |git ') THEN 'bash' ELSE '' END || chr(10) || trim(p) || chr(10) || '```' || chr(10) || chr(10) END AS body
+FROM (SELECT item_id, {PAD} AS p FROM benchmark)"""
+SQL["build_appendix"] = _chained(
+    ["strip_orphan_dashes", "space_markdown_adjacency", "strip_emphasis_inner_space", "fix_digit_headings"],
+    f"SELECT doc, line_no, line FROM md UNION ALL SELECT a.doc, l.last + 1 + a.line_no, a.line FROM ({SQL['appendix_articles']}) a JOIN (SELECT doc, max(line_no) AS last FROM md GROUP BY doc) l ON l.doc = a.doc",
+)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkloom.plans import queries_audit, queries_lines, queries_links
+from inkloom.plans import queries_audit, queries_books, queries_lines, queries_links
 
-MODULES = [queries_lines, queries_audit, queries_links]
+MODULES = [queries_lines, queries_audit, queries_links, queries_books]
 
 
 def queries() -> dict:

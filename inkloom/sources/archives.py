@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 
 def members(spark: SparkSession, path: str) -> DataFrame:
     """(epub, member, content) of all members of the archives under path; an archive that cannot be read has none."""
+    return unzipped(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def unzipped(files: DataFrame) -> DataFrame:
+    """The same of archives held as rows (path, content)."""
 
     def run(batches):
         for b in batches:
@@ -24,7 +29,7 @@ def members(spark: SparkSession, path: str) -> DataFrame:
                     continue
             yield pd.DataFrame(out, columns=["epub", "member", "content"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "epub string, member string, content binary")
+    return files.select("path", "content").mapInPandas(run, "epub string, member string, content binary")
 
 
 def page_members(archive: DataFrame) -> DataFrame:
@@ -33,6 +38,12 @@ def page_members(archive: DataFrame) -> DataFrame:
     return pages.select("epub", "member", F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
 
 
+def read_member(archive: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(epub, member, html) of the members wanted (epub, member); one that the archive lacks is empty."""
+    held = page_members(archive)
+    return wanted.join(held, ["epub", "member"], "left").select("epub", "member", F.coalesce("html", F.lit("")).alias("html"))
+
+
 def package(archive: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """packages (epub, opf, problem), manifest (epub, id, href) and spine (epub, idref)."""
     text = F.col("content").cast("string")

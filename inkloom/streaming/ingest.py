@@ -16,6 +16,7 @@ def audit_landing(spark: SparkSession, landing: str, out: str, checkpoint: str,
     def each(batch: DataFrame, batch_id: int) -> None:
         found = audit(to_lines(batch, "doc_id"))
         found.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(out)
+        found.release()
 
     query = docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkloom.operators import align, audit, chunking, formula, links, refs, report
+from inkloom.functions import markdown
 from inkloom.plans import registry
 from inkloom.sources import archives, pages
 
@@ -149,6 +150,62 @@ def test_archives(spark, tmp_path):
         assert z.namelist()[0] == "mimetype" and z.infolist()[0].compress_type == zipfile.ZIP_STORED
 
 
+def test_archives_without_container_or_with_broken_package(spark):
+    rows = [("a", "x.xhtml", b"<p>1</p>"), ("b", "META-INF/container.xml", b"<container"), ("c", "META-INF/container.xml", b'<c><rootfile full-path="o.opf"/></c>'), ("c", "o.opf", b"<package")]
+    members = archives.unzipped(archives.repack(spark.createDataFrame(rows, "epub string, member string, content binary")).selectExpr("epub AS path", "content"))
+    assert values(members, "epub", "member") == sorted((e, m) for e, m, _ in rows)
+    packages, manifest, spine = archives.package(members)
+    problems = {r["epub"]: r["problem"] for r in packages.collect()}
+    assert problems["a"] == problems["b"] == "could not locate OPF rootfile" and problems["c"].startswith("OPF is not well-formed XML")
+    assert manifest.count() == spine.count() == 0
+    wanted = spark.createDataFrame([("a", "x.xhtml"), ("a", "gone.xhtml")], "epub string, member string")
+    assert values(archives.read_member(members, wanted), "member", "html") == [("gone.xhtml", ""), ("x.xhtml", "<p>1</p>")]
+    assert archives.unzipped(spark.createDataFrame([("q", b"no zip")], "path string, content binary")).count() == 0
+
+
+def test_every_image_of_a_line_follows_its_own_name(spark, lines, text_of):
+    text = "![](img/a.png) and ![](img/b.png), [see](img/c.png) at C:\\x y\\image_3_0aF.png and ![](http://e.com/a.png)"
+    images = spark.createDataFrame([(0, n) for n in ("a.png", "c.png", "image_3_0aF.png")] + [(1, "b.png")], "doc int, name string")
+    want = "![](doc_artifacts/c0000_a.png) and ![](img/b.png), [see](doc_artifacts/c0000_c.png) at doc_artifacts/c0000_image_3_0aF.png and ![](doc_artifacts/c0000_a.png)"
+    assert text_of(chunking.absorb_images(lines(text + "\nno path\n$1 ](x)"), images)) == [want, "no path", "$1 ](x)"]
+
+
+def test_layout_trees_of_many_levels(spark):
+    nodes = [(0, "n0", None, 0)] + [(0, f"n{i}", f"n{i - 1}", 0) for i in range(1, 6)] + [(0, "last", "n5", 1), (0, "first", "n5", 0)]
+    df = spark.createDataFrame([(d, n, p, k, "formula" if n in ("last", "first") else "group", "x", 1, True) for d, n, p, k in nodes], "doc int, node string, parent string, pos bigint, label string, text string, page_no int, has_box boolean")
+    assert [r["node"] for r in formula.harvest(df).orderBy("ord").collect()] == ["first", "last"]
+    assert formula.harvest(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="levels"):
+        formula.harvest(df, depth=3)
+
+
+def test_sidecars_and_build_names(spark):
+    rows = [(1, '[{"page_no":2,"bbox":{"l":1,"t":2,"r":3,"b":4},"coord_origin":"TOPLEFT","page_w":5,"page_h":6,"orig":"x"},{"page_no":3}]'), (2, "no"), (3, None), (4, "[]")]
+    got = formula.read_boxes(spark.createDataFrame(rows, "doc int, json string")).collect()
+    assert [(r["doc"], r["ord"], r["page_no"], r["r"], r["text"]) for r in got] == [(1, 0, 2, 3.0, "x"), (1, 1, 3, None, None)]
+    names = spark.createDataFrame([(s,) for s in ("a/b", " .. ", "", "x\\y ", None, ".")], "s string")
+    assert [r[0] for r in names.select(chunking.build_name(names.s)).collect()] == ["a_b", None, None, "x_y", None, None]
+
+
+@pytest.mark.parametrize(("text", "wanted"), [
+    ("# A *b*\n\nx **y** `a<b`", "<h1>A <em>b</em></h1>\n<p>x <strong>y</strong> <code>a&lt;b</code></p>\n"),
+    ("- a\n- b\n  - c", "<ul>\n<li>a</li>\n<li>b\n<ul>\n<li>c</li>\n</ul>\n</li>\n</ul>\n"),
+    ("3. x\n\n4. y", '<ol start="3">\n<li>\n<p>x</p>\n</li>\n<li>\n<p>y</p>\n</li>\n</ol>\n'),
+    ("| a | b |\n|---|--:|\n| 1 | ~~2~~ |", '<table>\n<thead>\n<tr>\n<th>a</th>\n<th style="text-align:right">b</th>\n</tr>\n</thead>\n<tbody>\n<tr>\n<td>1</td>\n<td style="text-align:right"><del>2</del></td>\n</tr>\n</tbody>\n</table>\n'),
+    ("> q\n\n```py\nx < 1\n```", '<blockquote>\n<p>q</p>\n</blockquote>\n<pre><code class="language-py">x &lt; 1\n</code></pre>\n'),
+    ('[t](u "v") ![i](j) it\'s "so"', '<p><a href="u" title="v">t</a> <img src="j" alt="i" /> it’s “so”</p>\n'),
+    ("a_b_c ***d*** e \\*f* <b>g</b> &amp; &", "<p>a_b_c <em><strong>d</strong></em> e *f* <b>g</b> &amp; &amp;</p>\n"),
+    ("**a ** b", "<p>**a ** b</p>\n"), ("", ""), (None, ""),
+])
+def test_markdown(text, wanted):
+    assert markdown.to_xhtml(text) == wanted
+
+
+def test_rendered_column(spark):
+    got = chunking.render(spark.createDataFrame([(1, "# x"), (2, None)], "doc int, text string")).orderBy("doc").collect()
+    assert [r["xhtml"] for r in got] == ["<h1>x</h1>\n", ""]
+
+
 def test_fenced_code_is_whole(spark, tmp_path):
     texts = ["short", "word " * 100 + "tail"]
     spark.createDataFrame(list(enumerate(texts)), "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -148,3 +149,16 @@ def test_lines_round_trip(spark):
 def test_fences(lines):
     rows = L.tick_fence_state(L.fence_state(L.fence_mask(lines("a\n```\nb\n~~~\nc")))).orderBy("line_no").collect()
     assert [r["fenced"] for r in rows] == [False, True, True, True, False]
+
+
+def test_marks_of_any_kind_survive_rewriting(lines, text_of):
+    assert text_of(T.escape_dollars(lines("price \x01$5 and $6\n$$a$$ `$x` \x01"))) == ["price \x01\\$5 and \\$6", "$$a$$ `$x` \x01"]
+    assert text_of(T.unglue_compounds(lines("\x01realtime\x01 plan realtime"))) == ["\x01real-time\x01 plan real-time"]
+
+
+def test_a_long_document_takes_time_in_proportion(spark):
+    lines = spark.range(40_000).selectExpr("0 AS doc", "id AS line_no", "CASE id % 4 WHEN 0 THEN concat('- item ', id) WHEN 1 THEN '' WHEN 2 THEN 'an open line' ELSE concat('## ', id % 9, '.', id % 5, ' x') END AS line")
+    for step in (T.heal_list_gaps, T.heal_sentences, T.number_chapters):
+        begun = time.time()
+        assert step(lines).count() > 0
+        assert time.time() - begun < 10
