@@ -367,7 +367,8 @@ def group_links(members: DataFrame, classes: DataFrame, docs: DataFrame, n: int,
 
     docs has doc_id, text and text_hash; the text of a class is that of its first document.
     """
-    blocks = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # (written, so that the join has plain shuffles on both sides and a large group can be split)
+    blocks = cut(members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     placed = members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = placed.select("group", "node", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("group", "node", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
