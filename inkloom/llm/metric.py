@@ -6,11 +6,11 @@ sqrt(M^2 - |v|^2), M being the largest norm, and a query gets 0; then
 
 A tree holds pages of entries.  An entry of an inner page has a routing object, a
 covering radius and the distance to the page's own routing object; so has an entry of a
-leaf page, with radius 0.  A search takes pages from a queue in the order of their least
-possible distance, and passes over entries for which
-|d(q, parent) - d(entry, parent)| - radius is already beyond the k-th best, without
-computing their distance.  Bounds are floating point and are used with slack; the scores
-themselves are integers.
+leaf page, with radius 0.  Queries search a tree together: pages come from a queue in the
+order of their least possible distance to any query that may still need them, and entries
+for which |d(q, parent) - d(entry, parent)| - radius is beyond the k-th best of all of
+these are passed over without computing their distance.  Bounds are floating point and are
+used with slack; the scores are exact integers.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.llm.common import cut, partitions, tidied
+from inkloom.llm.common import cut, tidied
 
 #: Slack of the bounds over rounding errors, as a share of the lengths involved (a distance comes from a difference of squares).
 SLACK = 1e-6
@@ -71,9 +71,8 @@ class MTree:
 
     def packed(self) -> bytes:
         """The tree as bytes: vectors, and pages without what follows from the vectors."""
-        small = np.min_scalar_type(-int(np.abs(self.vectors).max())) if self.vectors.size else np.dtype("i1")
         pages = [(rows, None if child[0] < 0 else points, None, radii, far, child) for rows, points, _, radii, far, child in self.pages]
-        return pickle.dumps((self.ids, self.vectors.astype(small), self.root, pages), protocol=5)
+        return pickle.dumps((self.ids, self.vectors.astype(_narrow(self.vectors)), self.root, pages), protocol=5)
 
     @classmethod
     def unpacked(cls, blob: bytes) -> MTree:
@@ -106,48 +105,101 @@ class MTree:
 
     def search(self, query: np.ndarray, query_id: int, k: int) -> tuple[list[tuple[int, int]], int]:
         """The k rows of highest (score, then smallest id) but the query's own, and how many distances it took."""
+        best = Best(np.array([query_id]), query.astype("i8")[None], k)
+        computed = self.search_all(best)
+        return [(s, i) for _, i, s in zip(*(x.tolist() for x in best.found()))], computed
+
+    def search_all(self, best: Best, most: int = 4096) -> int:
+        """Take this tree's rows into best, `most` queries at a time; how many distances it took."""
         if self.root is None:
-            return [], 0
-        q = np.append(query.astype("f8"), 0.0)
-        whole = query.astype("i8")
-        square = float(q @ q)
-        scale = math.sqrt(self.most) + math.sqrt(square) + 1
-        slack = SLACK * scale
-        best: list[tuple[int, int]] = []  # heap of (score, -id)
-        reach = math.inf
-        queue = [(0.0, 0, self.root, None)]
+            return 0
+        return sum(self._search(best, np.arange(at, min(at + most, len(best.ids)))) for at in range(0, len(best.ids), most))
+
+    def _search(self, best: Best, part: np.ndarray) -> int:
+        """Queries go down together, each only into the pages that its own bounds leave."""
+        x = best.vectors[part].astype("f8")
+        square = (x * x).sum(1)
+        slack = SLACK * (math.sqrt(self.most) + np.sqrt(square) + 1)
+        # a product's terms and sums are whole numbers of at most this size, which floats hold exactly up to 2^24 or 2^53
+        largest = math.sqrt(self.most * float(square.max(initial=0)))
+        kind = "f4" if largest < 2**24 - 1 else "f8" if largest < 2**52 else "i8"
+        whole, vectors = best.vectors[part].astype(kind), self.vectors.astype(kind)
+        reach = best.reach(part, square, self.most)
+        queue = [(0.0, 0, self.root, np.arange(len(part)), np.zeros(len(part)), None)]
         computed, ties = 0, 0
         while queue:
-            least, _, page, from_parent = heapq.heappop(queue)
-            if least > reach + slack:
-                break
+            _, _, page, who, bound, from_parent = heapq.heappop(queue)
+            far = reach[who] + slack[who]
+            near = bound <= far
             rows, points, squares, radii, to_parent, children = self.pages[page]
-            if from_parent is not None and reach < math.inf:
-                near = np.abs(from_parent - to_parent) - radii <= reach + slack
-                if not near.all():
-                    if not near.any():
-                        continue
-                    rows, points, squares, radii, children = rows[near], points[near], squares[near], radii[near], children[near]
-            computed += len(points)
-            d = np.sqrt(np.maximum(0, squares + square - 2 * (points @ q)))
+            if from_parent is not None:
+                up, down = from_parent + far, from_parent - far
+                near &= ((to_parent - radii).min() <= up) & ((to_parent + radii).max() >= down)
+            if not near.any():
+                continue
+            who, far = who[near], far[near]
+            if from_parent is not None:
+                use = (to_parent - radii <= up[near].max()) & (to_parent + radii >= down[near].min())
+                if not use.any():
+                    continue
+                if not use.all():
+                    rows, points, squares, radii, children = rows[use], points[use], squares[use], radii[use], children[use]
+            computed += len(who) * len(points)
             if children[0] < 0:
-                close = np.flatnonzero(d <= reach + slack)
-                scores = self.vectors[rows[close]] @ whole
-                for score, vec in zip(scores.tolist(), self.ids[rows[close]].tolist()):
-                    if vec == query_id:
-                        continue
-                    if len(best) < k:
-                        heapq.heappush(best, (score, -vec))
-                    elif (score, -vec) > best[0]:
-                        heapq.heapreplace(best, (score, -vec))
-                if len(best) == k:
-                    reach = math.sqrt(max(0.0, square + self.most - 2 * best[0][0]))
+                changed = best.add(part[who], whole[who] @ vectors[rows].T, self.ids[rows])
+                reach[changed - part[0]] = best.reach(changed, square[changed - part[0]], self.most)
             else:
-                bound = np.maximum(0, d - radii)
-                for e in np.flatnonzero(bound <= reach + slack).tolist():
+                d = np.sqrt(np.maximum(0, squares + square[who][:, None] - 2 * (x[who] @ points[:, :-1].T)))
+                least = np.maximum(0, d - radii)
+                fine = least <= far[:, None]
+                for e in np.flatnonzero(fine.any(0)).tolist():
                     ties += 1
-                    heapq.heappush(queue, (float(bound[e]), ties, int(children[e]), float(d[e])))
-        return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1])), computed
+                    own = fine[:, e]
+                    heapq.heappush(queue, (float(least[own, e].min()), ties, int(children[e]), who[own], least[own, e], d[own, e]))
+        return computed
+
+
+class Best:
+    """The k best (score, then smallest id) of each of many queries so far; a query's own id is no candidate."""
+
+    NONE = -(2**62)
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.score = np.full((len(ids), k), self.NONE, "i8")
+        self.vec = np.zeros((len(ids), k), "i8")
+
+    def reach(self, rows: np.ndarray, square: np.ndarray, most: float) -> np.ndarray:
+        """The distance of the k-th best in a tree whose largest squared norm is `most`."""
+        last = self.score[rows, -1]
+        return np.where(last > self.NONE, np.sqrt(np.maximum(0, square + most - 2.0 * last)), math.inf)
+
+    def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Take in scores (rows x ids); the rows that changed."""
+        asked, last = self.ids[rows], self.score[rows, -1]
+        for c in np.flatnonzero(np.isin(ids, asked)).tolist():
+            scores[asked == ids[c], c] = self.NONE
+        some = np.flatnonzero(scores.max(1) >= last)
+        rows, scores, last = rows[some], scores[some], last[some]
+        if len(ids) > self.k:  # what is below a page's own k-th best is not among the best
+            last = np.maximum(last, np.partition(scores, -self.k, 1)[:, -self.k].astype("i8"))
+        at, c = np.nonzero((scores >= last[:, None]) & (scores > self.NONE))
+        if not len(at):
+            return rows[:0]
+        touched = np.unique(at)
+        own = rows[touched]
+        of = np.concatenate([at, np.repeat(touched, self.k)])
+        score = np.concatenate([scores[at, c].astype("i8"), self.score[own].ravel()])
+        vec = np.concatenate([ids[c], self.vec[own].ravel()])
+        order = np.lexsort((vec, -score, of))
+        first = order[np.searchsorted(of[order], touched)[:, None] + np.arange(self.k)]
+        self.score[own], self.vec[own] = score[first], vec[first]
+        return own
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query_id, vec_id and score of what was found, best first."""
+        row, at = np.nonzero(self.score > self.NONE)
+        return self.ids[row], self.vec[row, at], self.score[row, at]
 
 
 def whole_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -161,9 +213,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, tree_rows: int = 8_19
     """query_id, rank, vec_id, score: the k best rows for every row whose vec_id is divisible by `every`.
 
     Rows are dealt by hash into trees of about tree_rows, each built once and stored, and
-    queries into blocks of query_rows at most (smaller ones, as many as there are shuffle
-    partitions, while there are few); each block searches each tree in a task of its own,
-    and the k best of each tree meet in one sum per query.  Neither side is broadcast.
+    queries into blocks of query_rows at most.  Trees and blocks are dealt into a grid
+    (`grid`): a task has some blocks and takes some trees, one after the other, so that
+    what is sent grows with the table.  A query's best so far bound its search of the next
+    tree, and the k best of each task meet in one sum per query.  Neither side is broadcast.
 
     Vectors that are null or hold null or non-finite components, and rows with a null
     vec_id, take no part.  Vectors of another length than the query's are not compared
@@ -171,11 +224,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, tree_rows: int = 8_19
     each, but not for a query of that id; as queries they share one list of the k best of
     all of them.  Other columns are not read.  An empty table gives no rows.
     """
-    spark = vectors.sparkSession
     rows = whole_vectors(vectors)
     counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
     trees = max(1, -(-counts["n"] // tree_rows))
-    blocks = max(1, min(-(-counts["q"] // 64), max(partitions(spark), -(-counts["q"] // query_rows))))
+    across, down = grid(counts["n"], counts["q"], trees)
+    blocks = max(down, -(-counts["q"] // query_rows))
     key = lambda n: F.struct(F.size("v").alias("width"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("part")).alias("k")
 
     def made(pack):
@@ -188,26 +241,52 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, tree_rows: int = 8_19
 
     shape = "width int, part bigint, blob binary"
     plots = cut(rows.select(key(trees), "vec_id", "v").groupBy("k").applyInArrow(made(lambda ids, v: MTree(ids, v).packed()), shape))
-    asked = rows.where(F.col("vec_id") % every == 0).select(key(blocks), "vec_id", "v").groupBy("k").applyInArrow(made(lambda ids, v: pickle.dumps((ids, v), protocol=5)), shape)
-    asked = asked.select("width", F.col("part").alias("block"), F.col("blob").alias("queries"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(trees - 1).cast("bigint"))).alias("part"))
-    pairs = asked.join(plots, ["width", "part"]).repartition(max(partitions(spark), min(2000, trees * blocks)), "width", "part", "block").sortWithinPartitions("width", "part")
+    asked = rows.where(F.col("vec_id") % every == 0).select(key(blocks), "vec_id", "v").groupBy("k").applyInArrow(made(lambda ids, v: pickle.dumps((ids, v.astype(_narrow(v))), protocol=5)), shape)
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = asked.select("width", copies(across).alias("x"), F.pmod("part", F.lit(down)).cast("int").alias("y"), F.lit(False).alias("tree"), "blob")
+    plots = plots.select("width", F.pmod("part", F.lit(across)).cast("int").alias("x"), copies(down).alias("y"), F.lit(True).alias("tree"), "blob")
+    met = asked.unionByName(plots).repartition(min(2000, 2 * across * down), "width", "x", "y").sortWithinPartitions("width", "x", "y", "tree")
 
     def search(batches):
-        held, tree = None, None
+        at, blocks, best = None, [], None
+
+        def found():
+            ids, vec, score = best.found() if best else (np.zeros(0, "i8"),) * 3
+            for a in range(0, len(ids), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000], pa.int64()) for x in (ids, vec, score)], names=["query_id", "vec_id", "score"])
+
         for b in batches:
-            for queries, blob in zip(b.column("queries").to_pylist(), b.column("blob").to_pylist()):
-                if blob != held:
-                    held, tree = blob, MTree.unpacked(blob)
-                ids, ask = pickle.loads(queries)
-                out = [(qid, vec, score) for qid, q in zip(ids.tolist(), ask) for score, vec in tree.search(q, qid, k)[0]]
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
-
-    found = pairs.select("queries", "blob").mapInArrow(tidied(search), "query_id bigint, vec_id bigint, score bigint")
-    # (a short list for every query, k from each tree)
+            for *here, tree, blob in zip(*(b.column(n).to_pylist() for n in ("width", "x", "y", "tree")), b.column("blob")):
+                if here != at:
+                    yield from found()
+                    at, blocks, best = here, [], None
+                if not tree:
+                    blocks.append(pickle.loads(blob.as_py()))
+                elif blocks or best:  # (trees come after all blocks)
+                    if best is None:
+                        best, blocks = Best(np.concatenate([i for i, _ in blocks]), np.concatenate([v for _, v in blocks]), k), []
+                    MTree.unpacked(blob.as_py()).search_all(best)
+        yield from found()
+
+    found = met.mapInArrow(tidied(search), "query_id bigint, vec_id bigint, score bigint")
+    # (a short list for every query, k from each task)
     listed = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
     return listed.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
 
 
+def grid(rows: int, queries: int, trees: int, most: int = 1_000_000) -> tuple[int, int]:
+    """Into how many parts trees and queries are dealt: queries are sent once for each part of the trees, trees once for each part of the queries.
+
+    128 tasks or more on large tables, so that none has more than `most` rows or queries.
+    """
+    across = min(trees, max(64, -(-rows // most)))
+    return across, max(1, min(-(-queries // 64), max(-(-queries // most), min(8, -(-128 // across)))))
+
+
+def _narrow(v: np.ndarray) -> np.dtype:
+    return np.min_scalar_type(-int(np.abs(v).max())) if v.size else np.dtype("i1")
+
+
 def _matrix(column) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), "i8").reshape(len(flat), -1)

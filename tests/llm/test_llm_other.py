@@ -206,3 +206,24 @@ def test_labeller_on_new_layouts():
         got = set(extraction.extract(model, [page])[0].split("\n")) - {""}
         right, wrong, missed = right + len(got & main), wrong + len(got - main), missed + len(main - got)
     assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.97
+
+
+def test_queries_that_search_together_find_what_they_find_alone():
+    rng = np.random.default_rng(4)
+    for scale in (3, 256, 40_000, 2**27, 2**29):  # many ties; products that fit narrow floats, wide floats and integers only
+        rows = rng.integers(-scale, scale + 1, (700, 5))
+        tree, other = (metric.MTree.unpacked(metric.MTree(ids, rows[ids], capacity=16).packed()) for ids in np.array_split(rng.permutation(700), 2))
+        best = metric.Best(np.arange(0, 700, 7), rows[::7], 5)
+        for t in (tree, other):
+            t.search_all(best, most=30)
+        s = rows[::7] @ rows.T
+        want = [(q, j, s[i, j]) for i, q in enumerate(range(0, 700, 7)) for j in [j for j in np.lexsort((np.arange(700), -s[i])) if j != q][:5]]
+        assert list(zip(*best.found())) == want
+
+
+def test_what_top_k_sends_grows_with_the_table():
+    for rows in (10_000, 100_000, 1_000_000, 15_000_000, 80_000_000):
+        queries, trees = rows // 50, -(-rows // 8192)
+        across, down = metric.grid(rows, queries, trees)
+        assert across * down <= 400 and rows / across <= 1_000_000 and queries / down <= 1_000_000
+        assert across * queries + down * rows <= 9 * rows
