@@ -212,3 +212,10 @@ def test_fenced_code_is_whole(spark, tmp_path):
     got = {r["item_id"]: r["body"] for r in registry.queries()["fence_inline_code"](spark, str(tmp_path)).collect()}
     assert "short" + "x" * 225 in got[0] and "x" * 226 not in got[0]
     assert texts[1] in got[1]
+
+
+def test_addresses_that_repeat_are_uncached_by_owner(spark):
+    urls = spark.createDataFrame([(0, "u"), (1, "u"), (2, "v"), (3, None)], "page_id int, url string")
+    cache = urls.where("page_id % 2 = 0").selectExpr("page_id", "sha1(url) AS key")
+    assert {r["page_id"] for r in links.uncached(urls, cache, "page_id").collect()} == {1, 3}
+    assert {r["page_id"] for r in links.uncached(urls, cache).collect()} == {3}
