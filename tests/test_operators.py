@@ -241,3 +241,33 @@ def test_of_headings_in_one_line_the_first_page_counts(spark):
         table = spark.createDataFrame(some, "page_id int, book int, member string, line int, level int, text string").coalesce(1)
         assert [r["extra"] for r in audit.heading_text_duplication(table).collect()] == ['{"level":6}']
         assert [r["message"] for r in audit.heading_depth_jump(table).collect()] == ["H1 → H4 skips 2 levels"]
+
+
+def test_anchors_are_found_among_equal_and_common_lines(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    words = ["one", "two", "three", "four"]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    common = line(12)
+    blocks = [(b, f"m{m}", i, common if rng.random() < 0.3 else line(rng.randrange(1, 16))) for b in (0, 1) for m in range(6) for i in range(8)]
+    anchors = [(b, p, x) for b in (0, 1) for p, x in enumerate([common, common, "", line(8), *[t[:-1] for bb, _, _, t in blocks if bb == b and len(t.split()) >= 9][:12]])]
+    want = set()
+    for b, p, anchor in anchors:
+        ws, found = anchor.split(), []
+        for bb, m, i, text in blocks:
+            cuts = [n for n in range(8, len(ws) + 1) if " ".join(ws[:n]) in text]
+            if bb == b and cuts:
+                found.append((m, -max(cuts), i))
+        if found:
+            m, _, i = min(found)
+            want.add((b, p, m, max(0, i - 2), min(8, i + 3)))
+    monkeypatch.setattr(align, "BITMAPS", 8)
+    made = align.locate(spark.createDataFrame(anchors, "book int, page_no int, anchor string"), spark.createDataFrame(blocks, "book int, member string, block int, text string"))
+    assert len(want) > 20 and sorted(tuple(r) for r in made.collect()) == sorted(want)
+
+
+def test_few_rows_without_an_anchors_hash_are_sent(spark):
+    keys, rows = spark.range(0, 5000).selectExpr("cast(id as string) AS k"), spark.range(0, 100_000).selectExpr("cast(id as string) AS k")
+    kept = {int(r["k"]) for r in rows.where(align.among(keys, "k")).collect()}
+    assert kept >= set(range(5000)) and len(kept) < 5100
