@@ -6,7 +6,9 @@ model predicts an id in two steps, p(class | ids before) * p(id | class).  Class
 clusters of ids by their neighbours, apart for ids that begin a word.  The first factor
 is one layer of causal self-attention in numpy.  Counts of adjacent ids over all texts of
 the training fold, also across words, give the classes and the table from the latest id;
-attention is trained from there on the driver on texts whose number grows with the fold.
+attention is trained beside them on all texts of the fold: some train it on the driver
+first, from there each task takes its texts in steps of its own, and the tasks' weights
+are averaged.  All texts are encoded once and their ids kept.
 The second factor is the id's share of its class over the whole fold, which within a word
 is mixed with its share of the class after the id before it (for the `pairs` most frequent
 ids; Witten-Bell weights).  Texts are scored in windows that overlap: each id is scored once, with at
@@ -16,6 +18,7 @@ least `context` ids before it, in batches of windows under one mask.
 from __future__ import annotations
 
 import math
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,7 +60,7 @@ class CausalModel:
         self.w["bias"] = np.zeros(count, "f4")
         i, j = np.arange(shape.scored)[:, None], np.arange(shape.window)
         self.mask = np.where(j <= i + shape.context, 0, -1e9).astype("f4")
-        self.tables = None
+        self.tables = self.steps = None
 
     def prepare(self) -> CausalModel:
         """Tables by id and by place of what the projections give."""
@@ -87,42 +90,56 @@ class CausalModel:
         return (picked - np.log(z @ self.ones)).reshape(target.shape)
 
     def step(self, inputs: np.ndarray, target: np.ndarray, live: np.ndarray) -> tuple[float, dict]:
-        """Loss and gradients of a batch; live marks the cells that count."""
+        """Loss and gradients of a batch, but for the table from the latest id; live marks the cells that count."""
         d, c, w = self.shape.size, self.shape.context, self.w
-        x = w["id"][inputs] + w["place"]
-        root = 1 / math.sqrt(d)
-        q, k, v = x[:, c:] @ w["query"] * root, x @ w["key"], x @ w["value"]
-        a = np.matmul(q, k.transpose(0, 2, 1)) + self.mask
-        a = np.exp(a - a.max(2, keepdims=True))
-        a /= a.sum(2, keepdims=True)
+        x = w["id"].take(inputs, 0)
+        x += w["place"]
+        joined = np.concatenate([w["query"] / np.float32(math.sqrt(d)), w["key"], w["value"]], 1)
+        y = (x.reshape(-1, d) @ joined).reshape(*inputs.shape, 3 * d)
+        q, k, v = y[:, c:, :d], y[:, :, d : 2 * d], y[:, :, 2 * d :]
+        a = np.matmul(q, k.transpose(0, 2, 1))
+        a += self.mask
+        np.minimum(a, 60, out=a)
+        np.exp(a, out=a)
+        less = 1 / (a @ np.ones(a.shape[2], "f4"))[:, :, None]  # the weights' sum divides what they mix, here and on the way back
         mixed = np.matmul(a, v)
-        z = mixed @ w["out"] + w["latest"][inputs[:, c:]] + w["bias"]
-        z -= z.max(2, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(2, keepdims=True)
-        n = max(1, int(live.sum()))
-        rows = np.take_along_axis(p, target[:, :, None], 2)[:, :, 0]
-        loss = -float((np.log(rows + 1e-9) * live).sum() / n)
-        np.put_along_axis(p, target[:, :, None], rows[:, :, None] - 1, 2)
-        dz = p * (live / n)[:, :, None]
-        g = {"out": np.einsum("btd,btc->dc", mixed, dz), "bias": dz.sum((0, 1)), "latest": (inputs[:, c:].ravel(), dz.reshape(-1, self.count))}
-        dm = dz @ w["out"].T
-        da = np.matmul(dm, v.transpose(0, 2, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), dm)
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        dq, dk = np.matmul(ds, k) * root, np.matmul(ds.transpose(0, 2, 1), q)
-        g["query"], g["key"], g["value"] = (np.einsum("btd,bte->de", y, e) for y, e in ((x[:, c:], dq), (x, dk), (x, dv)))
-        dx = dk @ w["key"].T + dv @ w["value"].T
-        dx[:, c:] += dq @ w["query"].T
-        g["place"] = dx.sum(0)
-        g["id"] = (inputs.ravel(), dx.reshape(-1, d))
+        mixed *= less
+        z = mixed.reshape(-1, d) @ w["out"]
+        z += w["latest"].take(inputs[:, c:].ravel(), 0)
+        z += w["bias"]
+        cells, target = np.arange(len(z)), target.ravel()
+        share = (live.ravel() / max(1, int(live.sum()))).astype("f4")
+        picked = z[cells, target]
+        if z.max() > 80:
+            np.minimum(z, 80, out=z)
+        np.exp(z, out=z)
+        total = z @ np.ones(self.count, "f4")
+        loss = float(((np.log(total) - picked) * share).sum())
+        z *= (share / total)[:, None]  # from here on the gradient of the scores
+        z[cells, target] -= share
+        g = {"out": mixed.reshape(-1, d).T @ z, "bias": np.ones(len(z), "f4") @ z}
+        dm = (z @ w["out"].T).reshape(mixed.shape)
+        dm *= less
+        ds = np.matmul(dm, v.transpose(0, 2, 1))
+        ds -= np.einsum("btd,btd->bt", dm, mixed)[:, :, None]
+        ds *= a
+        dy = np.zeros_like(y)
+        dy[:, c:, :d] = np.matmul(ds, k)
+        dy[:, :, d : 2 * d] = np.matmul(ds.transpose(0, 2, 1), q)
+        dy[:, :, 2 * d :] = np.matmul(a.transpose(0, 2, 1), dm)
+        flat = dy.reshape(-1, 3 * d)
+        by = x.reshape(-1, d).T @ flat
+        g["query"], g["key"], g["value"] = by[:, :d] / np.float32(math.sqrt(d)), by[:, d : 2 * d], by[:, 2 * d :]
+        dx = flat @ joined.T
+        g["place"] = dx.reshape(x.shape).sum(0)
+        g["id"] = (inputs.ravel(), dx)
         return loss, g
 
     def fit(self, documents: list[np.ndarray], begin: int, epochs: int = 3, batch: int = 96, rate: float = 0.01, seed: int = 9, pairs: np.ndarray | None = None) -> list[float]:
         """pairs: how often each class follows each id (ids x classes), else counted in the documents."""
         inputs, target, live = windows(documents, self.shape, begin)
         target = self.classes[target]
-        # the table starts from how often a class follows an id
+        # the table is how often a class follows an id
         if pairs is None:
             pairs = np.zeros_like(self.w["latest"])
             np.add.at(pairs, (inputs[:, self.shape.context :][live], target[live]), 1)
@@ -133,32 +150,50 @@ class CausalModel:
             self.w["latest"][k : k + 4096] = np.log((part + 4 * prior) / (part.sum(1, dtype="f8", keepdims=True) + 4)) - np.log(prior)
         self.w["bias"] = np.log(prior).astype("f4")
         rng = np.random.default_rng(seed)
-        second = {k: np.zeros_like(v) for k, v in self.w.items()}
-        first = {k: np.zeros_like(v) for k, v in self.w.items() if k not in ("id", "latest")}
-        losses, step = [], 0
+        self.steps = Steps(self.w)
+        losses = []
         for epoch in range(epochs):
             total, order = 0.0, rng.permutation(len(inputs))
             for at in range(0, len(order), batch):
                 rows = order[at : at + batch]
                 loss, g = self.step(inputs[rows], target[rows], live[rows])
                 total += loss * len(rows)
-                step += 1
-                pace = rate * (1 - 0.8 * step / (epochs * (len(order) / batch + 1)))
-                for name, grad in g.items():
-                    if isinstance(grad, tuple):  # rows of a table
-                        sort = np.argsort(grad[0], kind="stable")
-                        ids, starts = np.unique(grad[0][sort], return_index=True)
-                        part = np.add.reduceat(grad[1][sort], starts, axis=0)
-                        second[name][ids] += part * part
-                        self.w[name][ids] -= 3 * pace * part / (np.sqrt(second[name][ids]) + 1e-6)
-                    else:
-                        first[name] = 0.9 * first[name] + 0.1 * grad
-                        second[name] = 0.98 * second[name] + 0.02 * grad * grad
-                        self.w[name] -= (pace * first[name] / (1 - 0.9**step) / (np.sqrt(second[name] / (1 - 0.98**step)) + 1e-8)).astype("f4")
+                self.steps.take(self.w, g, rate * (1 - 0.8 * (self.steps.taken + 1) / (epochs * (len(order) / batch + 1))))
             losses.append(total / max(1, len(order)))
         return losses
 
 
+class Steps:
+    """What steps of a model's weights go by: of the id vectors the squared gradients summed, of the others two running means.  The table from the latest id stays."""
+
+    def __init__(self, w: dict[str, np.ndarray]):
+        self.second = {k: np.zeros_like(v) for k, v in w.items() if k != "latest"}
+        self.first = {k: np.zeros_like(v) for k, v in w.items() if k not in ("id", "latest")}
+        self.taken = 0
+
+    def copy(self) -> Steps:
+        out = Steps({})
+        out.second, out.first, out.taken = {k: v.copy() for k, v in self.second.items()}, {k: v.copy() for k, v in self.first.items()}, self.taken
+        return out
+
+    def take(self, w: dict[str, np.ndarray], g: dict, pace: float):
+        self.taken += 1
+        first, second = self.first, self.second
+        for name, grad in g.items():
+            if isinstance(grad, tuple):  # rows of a table
+                sort = np.argsort(grad[0], kind="stable")
+                ids = grad[0][sort]
+                starts = np.flatnonzero(np.diff(ids, prepend=-1))
+                ids = ids[starts]
+                part = np.add.reduceat(grad[1][sort], starts, axis=0)
+                second[name][ids] += part * part
+                w[name][ids] -= np.float32(3 * pace) * part / (np.sqrt(second[name][ids]) + np.float32(1e-6))
+            else:
+                first[name] = np.float32(0.9) * first[name] + np.float32(0.1) * grad
+                second[name] = np.float32(0.98) * second[name] + np.float32(0.02) * grad * grad
+                w[name] -= (pace * first[name] / (1 - 0.9**self.taken) / (np.sqrt(second[name] / (1 - 0.98**self.taken)) + 1e-8)).astype("f4")
+
+
 @dataclass
 class Layout:
     """Windows over documents: every id is a target in exactly one of them.
@@ -341,25 +376,64 @@ class Sums:
         self.held, self.rows = [], 0
 
 
-def counted(docs: DataFrame, vocabulary: str) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """docs with the ids of each text and its end (`ids` binary, little-endian numbers of `width` bytes) in place of the text."""
+    kept = [f for f in docs.schema.fields if f.name != "text"]
+
+    def run(batches):
+        words = loaded(SpacedWords, vocabulary)
+        wide = width(words.size)
+        for b in arrow_slices(batches, "text", 4 << 20):
+            found, at, count = words_in(b.column("text"))
+            stream, sizes = words.stream(strings(found), at, count)
+            ends = np.concatenate([[0], np.cumsum(sizes)]) * wide
+            ids = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(ends.astype("i8")), pa.py_buffer(stream.astype(f"<u{wide}"))])
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], ids.cast(pa.binary())], names=[*[f.name for f in kept], "ids"])
+
+    return docs.mapInArrow(tidied(run), ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kept], "ids binary"]))
+
+
+def width(size: int) -> int:
+    """Bytes of an id."""
+    return 2 if size <= 1 << 16 else 4
+
+
+def streams(batches, size: int):
+    """Batches (a few MB of ids each), the ids of all their texts in turn, and how many each text has."""
+    wide = width(size)
+    for b in arrow_slices(batches, "ids", wide * 3 << 19):
+        ids = b.column("ids").cast(pa.large_binary())
+        at = np.frombuffer(ids.buffers()[1], "i8")[ids.offset : ids.offset + len(ids) + 1]
+        yield b, np.frombuffer(ids.buffers()[2], f"<u{wide}", (at[-1] - at[0]) // wide, at[0]).astype("i4"), np.diff(at) // wide
+
+
+def counted(docs: DataFrame, vocabulary: str, ids: DataFrame | None = None) -> DataFrame:
     """(word binary, pair bigint, n bigint): how often a word stands in all texts of docs (pair null), and how often an id follows another, an end standing before each text (word null).
 
     pair is before * ids + id.  Summed within a batch, within a task, and then by key.
+    ids: the texts of docs `encoded`, if at hand.
     """
 
-    def count(batches):
-        words = loaded(SpacedWords, vocabulary)
-        sums = Sums("word"), Sums("pair")
+    def count_words(batches):
+        sums = Sums("word")
         for b in arrow_slices(batches, "text"):
-            found, at, count = words_in(b.column("text"))
-            ids = np.concatenate([[words.end], words.stream(strings(found), at, count)[0]])
-            pairs = pc.value_counts(pa.array(ids[:-1].astype("i8") * words.size + ids[1:]))
-            yield from sums[0].add(found.cast(pa.binary()), pa.array(np.bincount(at, minlength=len(found)), pa.int64()))
-            yield from sums[1].add(pairs.field("values"), pairs.field("counts"))
-        for s in sums:
-            yield from s.out()
+            found, at, _ = words_in(b.column("text"))
+            yield from sums.add(found.cast(pa.binary()), pa.array(np.bincount(at, minlength=len(found)), pa.int64()))
+        yield from sums.out()
+
+    def count_pairs(batches):
+        words, sums = loaded(SpacedWords, vocabulary), Sums("pair")
+        for _, stream, _ in streams(batches, words.size):
+            stream = np.concatenate([[words.end], stream])
+            pairs = pc.value_counts(pa.array(stream[:-1].astype("i8") * words.size + stream[1:]))
+            yield from sums.add(pairs.field("values"), pairs.field("counts"))
+        yield from sums.out()
 
-    return docs.select("text").mapInArrow(tidied(count), "word binary, pair bigint, n bigint").groupBy("word", "pair").agg(F.sum("n").alias("n"))
+    texts = docs.select("text")
+    ids = encoded(texts, vocabulary) if ids is None else ids.select("ids")
+    kinds = "word binary, pair bigint, n bigint"
+    rows = texts.mapInArrow(tidied(count_words), kinds).union(ids.mapInArrow(tidied(count_pairs), kinds))
+    return rows.groupBy("word", "pair").agg(F.sum("n").alias("n"))
 
 
 def frequent(words: DataFrame, most: int) -> dict[str, float]:
@@ -390,16 +464,74 @@ def picked(pairs: DataFrame, choose) -> tuple[np.ndarray, np.ndarray]:
 
 
 def texts_to_train(documents: int, least: int) -> int:
-    """How many texts train the attention: at least `least`, and with the square root of the documents more, as one driver trains."""
+    """How many texts train the attention on the driver first: at least `least`, and with the square root of the documents more."""
     return max(least, math.ceil(2 * math.sqrt(documents)))
 
 
-def train(training: DataFrame, table: DataFrame, documents: int, vocabulary: str, sample: int = 400, classes: int = 56, pairs: int = 2048, shape: Shape | None = None) -> Scorer:
-    """A model from table (pair, n), the counts of adjacent ids in all training documents, its attention from whole texts of some (`texts_to_train`).
+#: Changes of weights are summed as whole numbers of this part of one, so that their order does not matter.
+PART = 1 << 20
+
+
+def taught(model: CausalModel, ids: DataFrame, begin: int, pace: float = 0.005, batch: int = 96, seed: int = 10) -> CausalModel:
+    """The model after all texts of ids (`encoded`), each taken once.
+
+    Each task goes from the given weights through its texts in steps.  An id's vector
+    becomes the mean of the tasks' vectors by how often they met the id, another weight
+    the mean by their ids.  A task gives at most one row for each id of the vocabulary and
+    for every `size` other weights; sums of these are what reaches the driver.
+    """
+    size, d = len(model.classes), model.shape.size
+    dense = [k for k in model.w if k not in ("id", "latest")]
+    shared = ids.sparkSession.sparkContext.broadcast(model)
+
+    def flat(w):
+        x = np.concatenate([w[k].ravel() for k in dense])
+        return np.append(x, np.zeros(-len(x) % d, "f4")).reshape(-1, d)
+
+    def run(batches):
+        given = shared.value
+        mine, steps, rng, met = copy(given), given.steps.copy(), np.random.default_rng(seed), np.zeros(size, "i8")
+        mine.w = {k: v if k == "latest" else v.copy() for k, v in given.w.items()}
+        for _, stream, sizes in streams(batches, size):
+            met += np.bincount(stream, minlength=size)
+            inputs, target, live = windows(np.split(stream, np.cumsum(sizes)[:-1]), mine.shape, begin)
+            target = mine.classes[target]
+            order = rng.permutation(len(inputs))
+            for at in range(0, len(order), batch):
+                rows = order[at : at + batch]
+                steps.take(mine.w, mine.step(inputs[rows], target[rows], live[rows])[1], pace)
+        at, rest = np.flatnonzero(met), flat(mine.w) - flat(given.w)
+        if len(at):
+            n = np.concatenate([met[at], np.full(len(rest), met.sum())])
+            change = np.rint(np.concatenate([mine.w["id"][at] - given.w["id"][at], rest]).astype("f8") * n[:, None] * PART).astype("i8")
+            key = np.concatenate([at, size + np.arange(len(rest))])
+            yield from pa.table([key, n, *change.T], names=["key", "n", *[f"w{j}" for j in range(d)]]).to_batches(10_000)
+
+    names = ["n", *[f"w{j}" for j in range(d)]]
+    changes = ids.select("ids").mapInArrow(tidied(run), ", ".join(f"{c} bigint" for c in ["key", *names]))
+    got = changes.groupBy("key").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    shared.destroy()
+    if not got.num_rows:
+        return model
+    key, n, *sums = (got.column(c).to_numpy() for c in ["key", *names])
+    change = (np.stack(sums, 1) / n[:, None] / PART).astype("f4")
+    model.w["id"][key[key < size]] += change[key < size]
+    rest = flat(model.w)
+    rest[key[key >= size] - size] += change[key >= size]
+    at, rest = 0, rest.ravel()
+    for k in dense:
+        model.w[k] = rest[at : at + model.w[k].size].reshape(model.w[k].shape)
+        at += model.w[k].size
+    return model
+
+
+def train(training: DataFrame, table: DataFrame, documents: int, vocabulary: str, sample: int = 400, classes: int = 56, pairs: int = 2048, shape: Shape | None = None, ids: DataFrame | None = None) -> Scorer:
+    """A model from all training documents: table (pair, n), the counts of adjacent ids in them, and ids, their texts `encoded` (encoded here if not given), of which `taught` learns attention.
 
     What reaches the driver is bounded by the vocabulary: an id's count, the pairs of
-    `pairs` ids and of the common ids with those beside them, and ids by classes; and by
-    the texts that train the attention (`drawn`: distinct ones of a bounded length).
+    `pairs` ids and of the common ids with those beside them, ids by classes, and changes
+    of weights; and by the texts that attention sets out from (`texts_to_train` of them,
+    `drawn`: distinct ones of a bounded length).
     Null texts are empty ones; without documents the model is untrained.
     """
     shape = shape or Shape()
@@ -438,11 +570,13 @@ def train(training: DataFrame, table: DataFrame, documents: int, vocabulary: str
     texts = pa.array(sorted(r["text"] or "" for r in rows), pa.string())
     found, at, many = words_in(texts)
     stream, sizes = words.stream(strings(found), at, many)
-    encoded = np.split(stream, np.cumsum(sizes)[:-1]) if len(sizes) else []
+    first_texts = np.split(stream, np.cumsum(sizes)[:-1]) if len(sizes) else []
     within = Within(group, counts.astype("f8"), first, rank, follows)
     model = CausalModel(group, count, shape)
     if documents:
-        model.fit(encoded, end, pairs=latest)
+        model.fit(first_texts, end, pairs=latest)
+        taught(model, encoded(training.select("text"), vocabulary) if ids is None else ids, end)
+        model.steps = None
     return Scorer(model.prepare(), within, end)
 
 
@@ -463,22 +597,22 @@ def score_texts(docs: DataFrame, vocabulary: str, folds: int = 7, held: int = 2,
     marked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("held_out", fold_of("doc_id", folds, held))
     training = marked.where(~F.col("held_out"))
     documents = training.count()
-    table = cut(counted(training, vocabulary))
+    ids = cut(encoded(marked.withColumn("mark", F.xxhash64("text")), vocabulary))
+    learnt = ids.where(~F.col("held_out"))
+    table = cut(counted(training, vocabulary, learnt))
     words = table.where("word IS NOT NULL").select("word", "n")
     sums = words.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
     n, v = (sums["n"] or 0) + documents, sums["v"] + (documents > 0)
     top = frequent(words, common_words)
-    scorer = train(training, table.where("pair IS NOT NULL").select("pair", "n"), documents, vocabulary, sample)
+    scorer = train(training, table.where("pair IS NOT NULL").select("pair", "n"), documents, vocabulary, sample, ids=learnt)
     shared, common = spark.sparkContext.broadcast(scorer), spark.sparkContext.broadcast(top)
     floor, end_log = math.log10(n + v + 1), math.log10(documents + 1)
 
     def run(batches):
-        words, lm, known = loaded(SpacedWords, vocabulary), shared.value, common.value.get
+        known = common.value.get
         for b in arrow_slices(batches, "text", 4 << 20):
             found, at, count = words_in(b.column("text"))
             listed = strings(found)
-            stream, sizes = words.stream(listed, at, count)
-            score = lm.scores(np.split(stream, np.cumsum(sizes)[:-1]))
             n_rows, text = b.num_rows, np.repeat(np.arange(b.num_rows), count)
             value = np.fromiter((known(w, -1.0) for w in listed), "f8", len(listed))[at]
             rare = value < 0
@@ -486,7 +620,7 @@ def score_texts(docs: DataFrame, vocabulary: str, folds: int = 7, held: int = 2,
             found_here = count - np.bincount(text[rare], minlength=n_rows) + (documents > 0)
             mark = b.column("mark")
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), mark, b.column("held_out"), pa.array([b"\x00" + m.tobytes() for m in mark.to_numpy()], pa.binary()), pa.nulls(n_rows, pa.int64()), pa.array(count + 1, pa.int64()), pa.array(found_here, pa.int64()), pa.array(base), pa.array(score)],
+                [b.column("doc_id"), mark, b.column("held_out"), pa.array([b"\x00" + m.tobytes() for m in mark.to_numpy()], pa.binary()), pa.nulls(n_rows, pa.int64()), pa.array(count + 1, pa.int64()), pa.array(found_here, pa.int64()), pa.array(base)],
                 names=NAMES,
             )
             row, times = np.unique(text[rare] * max(1, len(listed)) + at[rare], return_counts=True)
@@ -494,13 +628,20 @@ def score_texts(docs: DataFrame, vocabulary: str, folds: int = 7, held: int = 2,
                 of, word = pa.array(row // len(listed)), pa.array(row % len(listed))
                 empty = lambda kind: pa.nulls(len(row), kind)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(of), mark.take(of), b.column("held_out").take(of), found.cast(pa.binary()).take(word), pa.array(times, pa.int64()), empty(pa.int64()), empty(pa.int64()), empty(pa.float64()), empty(pa.float64())],
+                    [b.column("doc_id").take(of), mark.take(of), b.column("held_out").take(of), found.cast(pa.binary()).take(word), pa.array(times, pa.int64()), empty(pa.int64()), empty(pa.int64()), empty(pa.float64())],
                     names=NAMES,
                 )
 
-    parts = marked.withColumn("mark", F.xxhash64("text")).mapInArrow(tidied(run), "doc_id bigint, mark bigint, held_out boolean, word binary, times bigint, n_tokens bigint, known bigint, base double, score double")
+    def score(batches):
+        lm = shared.value
+        for b, stream, sizes in streams(batches, len(lm.model.classes)):
+            scores = lm.scores(np.split(stream, np.cumsum(sizes)[:-1]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), b.column("held_out"), pa.array(scores)], names=[*NAMES[:3], "score"])
+
+    parts = marked.withColumn("mark", F.xxhash64("text")).mapInArrow(tidied(run), "doc_id bigint, mark bigint, held_out boolean, word binary, times bigint, n_tokens bigint, known bigint, base double")
     matched = parts.join(words, "word", "left").withColumn("hit", F.col("times").isNotNull() & F.col("n").isNotNull())
-    found = matched.groupBy("doc_id", "mark", "held_out").agg(
+    scored = ids.mapInArrow(tidied(score), "doc_id bigint, mark bigint, held_out boolean, score double")
+    found = matched.unionByName(scored, allowMissingColumns=True).groupBy("doc_id", "mark", "held_out").agg(
         F.count("n_tokens").alias("copies"),
         F.max("n_tokens").alias("n_tokens"),
         (F.sum("known") + F.coalesce(F.sum(F.when(F.col("hit"), F.col("times"))), F.lit(0))).alias("known"),
@@ -514,4 +655,4 @@ def score_texts(docs: DataFrame, vocabulary: str, folds: int = 7, held: int = 2,
     ).drop("_copy")
 
 
-NAMES = ["doc_id", "mark", "held_out", "word", "times", "n_tokens", "known", "base", "score"]
+NAMES = ["doc_id", "mark", "held_out", "word", "times", "n_tokens", "known", "base"]

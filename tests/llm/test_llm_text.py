@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from inkloom.llm import encoding, jaccard, langid, linededup, lm, packing, quality
@@ -365,6 +366,64 @@ def test_the_model_learns_pairs_of_words_from_all_texts(spark):
     assert score["red house"] > score["red water"] + 0.5 and score["blue water"] > score["blue house"] + 0.5
 
 
+def test_all_texts_teach_attention_in_steps_of_their_task(spark):
+    rows = [(i, t) for i, t in enumerate(texts(12, 120, 40))] + [(500, None), (501, "")]
+    docs = docs_of(spark, rows).select("text").repartition(3).localCheckpoint()
+    ids = lm.encoded(docs.withColumn("part", F.spark_partition_id()), BYTE).localCheckpoint()
+    words, got = SpacedWords(BYTE), ids.collect()
+    streams = [np.frombuffer(r["ids"], "<u2").astype("i4") for r in got]
+    kept = {r["part"]: [x for x, y in zip(streams, got) if y["part"] == r["part"]] for r in got}
+    assert len(kept) == 3 and sum(x.tolist() == [words.end] for x in streams) == 2
+    model = lm.CausalModel(np.arange(words.size) % 12, 12, lm.Shape(2, 3, 4))
+    model.fit(streams[:2], words.end, epochs=1, batch=8)
+    before = {k: v.copy() for k, v in model.w.items()}
+    loss = lambda: -lm.Scorer(model.prepare(), lm.Within(model.classes, np.ones(words.size), words.begins, np.full(words.size, 2, "i4"), np.zeros((2, 2), "f4")), words.end).scores(streams).sum()
+    at_first, total = loss(), {k: np.zeros(v.shape) for k, v in before.items()}
+    met, every = np.bincount(np.concatenate(streams), minlength=words.size), sum(map(len, streams))
+    for part in kept.values():
+        mine, steps, rng = lm.CausalModel(model.classes, 12, model.shape), model.steps.copy(), np.random.default_rng(10)
+        mine.w = {k: v.copy() for k, v in before.items()}
+        inputs, target, live = lm.windows(part, model.shape, words.end)
+        order = rng.permutation(len(inputs))
+        for at in range(0, len(order), 16):
+            k = order[at : at + 16]
+            steps.take(mine.w, mine.step(inputs[k], model.classes[target[k]], live[k])[1], 0.005)
+        here = np.bincount(np.concatenate(part), minlength=words.size)
+        for k in total:
+            total[k] += (mine.w[k] - before[k]) * (here[:, None] / np.maximum(1, met)[:, None] if k == "id" else sum(map(len, part)) / every)
+    lm.taught(model, ids, words.end, batch=16)
+    assert all(np.allclose(model.w[k], before[k] + total[k], atol=1e-4) for k in total)
+    assert loss() < at_first
+
+
+def test_texts_beyond_the_first_ones_teach_the_model(spark):
+    rows = [(i, t) for i, t in enumerate(texts(13, 200, 30))]
+    docs = docs_of(spark, rows)
+    first = lm.drawn(docs, lm.texts_to_train(200, 1) / 200, seed=31)
+    table = lm.counted(docs, BYTE).where("pair IS NOT NULL").select("pair", "n").localCheckpoint()
+    a, b = (lm.train(d, table, 200, BYTE, sample=1).model.w for d in (docs, first))
+    assert 0 < first.count() < 100 and np.abs(a["out"] - b["out"]).max() > 1e-3
+
+
+def test_the_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(6)
+    model = lm.CausalModel(np.array([0, 0, 1, 2, 2, 2, 3, 3]), 4, lm.Shape(2, 3, 4))
+    inputs, target, live = lm.windows([rng.integers(0, 8, n).astype("i4") for n in (7, 11, 1)], model.shape, 7)
+    target = model.classes[target]
+    for k, g in model.step(inputs, target, live)[1].items():
+        if k == "id":
+            table = np.zeros_like(model.w["id"])
+            np.add.at(table, g[0], g[1])
+            g = table
+        way = rng.normal(size=g.shape).astype("f4")
+        held, found = model.w[k], []
+        for by in (0.01, -0.01):
+            model.w[k] = held + np.float32(by) * way
+            found.append(model.step(inputs, target, live)[0])
+        model.w[k] = held
+        assert (found[0] - found[1]) / 0.02 == pytest.approx(float((g * way).sum()), rel=0.02, abs=1e-4), k
+
+
 def test_language_model(spark):
     rows = [(i, t) for i, t in enumerate(texts(10, 80, 60))] + [(100, None), (101, ""), (None, "no id A"), (5, "again"), (102, "dup"), (102, "dup")]
     got = lm.score_texts(docs_of(spark, rows), BYTE, common_words=20).collect()
