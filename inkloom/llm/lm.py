@@ -32,6 +32,8 @@ from inkloom.llm.common import arrow_slices, cut, drawn, tidied
 from inkloom.llm.library import SpacedWords, strings, words_in
 
 LOG10 = math.log(10)
+#: Least sum that a step divides by, as one task's weights that are no numbers would reach all.
+TINY = np.float32(1e-30)
 
 
 @dataclass
@@ -101,7 +103,7 @@ class CausalModel:
         a += self.mask
         np.minimum(a, 60, out=a)
         np.exp(a, out=a)
-        less = 1 / (a @ np.ones(a.shape[2], "f4"))[:, :, None]  # the weights' sum divides what they mix, here and on the way back
+        less = 1 / np.maximum(a @ np.ones(a.shape[2], "f4"), TINY)[:, :, None]  # the weights' sum divides what they mix, here and on the way back
         mixed = np.matmul(a, v)
         mixed *= less
         z = mixed.reshape(-1, d) @ w["out"]
@@ -113,7 +115,7 @@ class CausalModel:
         if z.max() > 80:
             np.minimum(z, 80, out=z)
         np.exp(z, out=z)
-        total = z @ np.ones(self.count, "f4")
+        total = np.maximum(z @ np.ones(self.count, "f4"), TINY)
         loss = float(((np.log(total) - picked) * share).sum())
         z *= (share / total)[:, None]  # from here on the gradient of the scores
         z[cells, target] -= share
@@ -472,13 +474,14 @@ def texts_to_train(documents: int, least: int) -> int:
 PART = 1 << 20
 
 
-def taught(model: CausalModel, ids: DataFrame, begin: int, pace: float = 0.005, batch: int = 96, seed: int = 10) -> CausalModel:
+def taught(model: CausalModel, ids: DataFrame, begin: int, pace: float = 0.005, batch: int = 96, most: int = 1 << 17, seed: int = 10) -> CausalModel:
     """The model after all texts of ids (`encoded`), each taken once.
 
-    Each task goes from the given weights through its texts in steps.  An id's vector
-    becomes the mean of the tasks' vectors by how often they met the id, another weight
-    the mean by their ids.  A task gives at most one row for each id of the vocabulary and
-    for every `size` other weights; sums of these are what reaches the driver.
+    Each task goes from the given weights through its texts in steps, of windows drawn
+    from among `most` at a time.  An id's vector becomes the mean of the tasks' vectors by
+    how often they met the id, another weight the mean by their ids.  A task gives at most
+    one row for each id of the vocabulary and for every `size` other weights; sums of
+    these are what reaches the driver.
     """
     size, d = len(model.classes), model.shape.size
     dense = [k for k in model.w if k not in ("id", "latest")]
@@ -494,12 +497,14 @@ def taught(model: CausalModel, ids: DataFrame, begin: int, pace: float = 0.005,
         mine.w = {k: v if k == "latest" else v.copy() for k, v in given.w.items()}
         for _, stream, sizes in streams(batches, size):
             met += np.bincount(stream, minlength=size)
-            inputs, target, live = windows(np.split(stream, np.cumsum(sizes)[:-1]), mine.shape, begin)
-            target = mine.classes[target]
-            order = rng.permutation(len(inputs))
-            for at in range(0, len(order), batch):
-                rows = order[at : at + batch]
-                steps.take(mine.w, mine.step(inputs[rows], target[rows], live[rows])[1], pace)
+            placed = layout(np.split(stream, np.cumsum(sizes)[:-1]), mine.shape, begin)
+            for a in range(0, len(placed), most):
+                inputs, target, live = placed.part(a, a + most)
+                target = mine.classes[target]
+                order = rng.permutation(len(inputs))
+                for at in range(0, len(order), batch):
+                    rows = order[at : at + batch]
+                    steps.take(mine.w, mine.step(inputs[rows], target[rows], live[rows])[1], pace)
         at, rest = np.flatnonzero(met), flat(mine.w) - flat(given.w)
         if len(at):
             n = np.concatenate([met[at], np.full(len(rest), met.sum())])

@@ -396,6 +396,17 @@ def test_all_texts_teach_attention_in_steps_of_their_task(spark):
     assert loss() < at_first
 
 
+def test_steps_from_far_out_weights_stay_numbers():
+    model = lm.CausalModel(np.arange(8) % 4, 4, lm.Shape(2, 3, 4))
+    inputs, target, live = lm.windows([np.arange(8).astype("i4")], model.shape, 7)
+    for name, by in (("query", 1e4), ("bias", -500), ("bias", 500)):
+        held, model.w[name] = model.w[name], (model.w[name] + 1) * np.float32(by)
+        loss, g = model.step(inputs, model.classes[target], live)
+        assert all(np.isfinite(x[1] if isinstance(x, tuple) else x).all() for x in g.values()), name
+        assert loss == loss
+        model.w[name] = held
+
+
 def test_texts_beyond_the_first_ones_teach_the_model(spark):
     rows = [(i, t) for i, t in enumerate(texts(13, 200, 30))]
     docs = docs_of(spark, rows)
