@@ -135,6 +135,8 @@ class SpacedWords:
         self.pieces = Pieces(path, ByteBpe.SPLIT)
         self.words = Held(self._word)
         vocabulary = self.pieces.library.get_vocab(with_added_tokens=True)
+        if not vocabulary.keys() >= set(self.pieces.stands.values()):
+            raise ValueError("a vocabulary without some bytes does not tell all words apart")
         self.size = max(vocabulary.values()) + 1
         self.end = self.size - 1
         self.begins = np.zeros(self.size, bool)  # ids that begin a word

@@ -8,7 +8,7 @@ is one layer of causal self-attention in numpy.  Counts of adjacent ids over all
 the training fold, also across words, give the classes and the table from the latest id;
 attention is trained beside them on all texts of the fold: some train it on the driver
 first, from there each task takes its texts in steps of its own, and the tasks' weights
-are averaged.  All texts are encoded once and their ids kept.
+are averaged.  All texts are encoded once and their ids kept, from which words are counted too.
 The second factor is the id's share of its class over the whole fold, which within a word
 is mixed with its share of the class after the id before it (for the `pairs` most frequent
 ids; Witten-Bell weights).  Texts are scored in windows that overlap: each id is scored once, with at
@@ -23,7 +23,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +61,7 @@ class CausalModel:
         self.w["bias"] = np.zeros(count, "f4")
         i, j = np.arange(shape.scored)[:, None], np.arange(shape.window)
         self.mask = np.where(j <= i + shape.context, 0, -1e9).astype("f4")
-        self.tables = self.steps = None
+        self.tables = self.steps = self.room = None
 
     def prepare(self) -> CausalModel:
         """Tables by id and by place of what the projections give."""
@@ -91,51 +90,78 @@ class CausalModel:
         np.exp(z, out=z)
         return (picked - np.log(z @ self.ones)).reshape(target.shape)
 
-    def step(self, inputs: np.ndarray, target: np.ndarray, live: np.ndarray) -> tuple[float, dict]:
-        """Loss and gradients of a batch, but for the table from the latest id; live marks the cells that count."""
+    def step(self, inputs: np.ndarray, target: np.ndarray, live: np.ndarray, most: int = 32) -> tuple[float, dict]:
+        """Loss and gradients of a batch, but for the table from the latest id; live marks the cells that count.
+
+        `most` windows are worked on at a time, in arrays that are used again, as these fit a processor's cache.
+        """
+        d, w, root = self.shape.size, self.w, np.float32(math.sqrt(self.shape.size))
+        joined = np.concatenate([w["query"] / root, w["key"], w["value"]], 1)
+        out = np.concatenate([w["out"], w["bias"][None]])  # what is mixed has a column of ones for the bias
+        share = (live / max(1, int(live.sum()))).astype("f4")
+        dx = np.empty((*inputs.shape, d), "f4")
+        loss, g_out, g_joined, g_place = 0.0, np.zeros_like(out), np.zeros_like(joined), np.zeros_like(w["place"])
+        for k in range(0, len(inputs), most):
+            part = slice(k, k + most)
+            loss += self._block(inputs[part], target[part].ravel(), share[part].ravel(), joined, out, dx[part], g_out, g_joined)
+            g_place += dx[part].sum(0)
+        g = {"out": g_out[:d], "bias": g_out[d], "query": g_joined[:, :d] / root, "key": g_joined[:, d : 2 * d], "value": g_joined[:, 2 * d :], "place": g_place}
+        g["id"] = (inputs.ravel(), dx.reshape(-1, d))
+        return loss, g
+
+    def _room(self, windows: int) -> list[np.ndarray]:
+        """Arrays for the values and gradients of so many windows, given anew when there are more of these than before."""
+        if self.room is None or len(self.room[0]) < windows:
+            shape, cells = self.shape, self.shape.scored * windows
+            x, y, a, mixed = (windows, shape.window, shape.size), (windows, shape.window, 3 * shape.size), (windows, shape.scored, shape.window), (windows, shape.scored, shape.size)
+            self.room = [np.zeros(s, "f4") for s in (x, y, y, a, a, mixed, mixed)] + [np.ones((cells, shape.size + 1), "f4"), *[np.empty((cells, self.count), "f4") for _ in range(2)]]
+        cells = self.shape.scored * windows
+        return [r[:windows] for r in self.room[:7]] + [r[:cells] for r in self.room[7:]]
+
+    def _block(self, inputs, target, share, joined, out, dx, g_out, g_joined) -> float:
+        """The loss of some windows; dx becomes the gradients of their vectors, those of joined and out are added to theirs."""
         d, c, w = self.shape.size, self.shape.context, self.w
-        x = w["id"].take(inputs, 0)
+        x, y, dy, a, ds, mixed, dm, with_one, z, more = self._room(len(inputs))
+        np.take(w["id"], inputs, 0, out=x, mode="clip")
         x += w["place"]
-        joined = np.concatenate([w["query"] / np.float32(math.sqrt(d)), w["key"], w["value"]], 1)
-        y = (x.reshape(-1, d) @ joined).reshape(*inputs.shape, 3 * d)
+        wide = x.reshape(-1, d)
+        np.matmul(wide, joined, out=y.reshape(-1, 3 * d))
         q, k, v = y[:, c:, :d], y[:, :, d : 2 * d], y[:, :, 2 * d :]
-        a = np.matmul(q, k.transpose(0, 2, 1))
+        np.matmul(q, k.transpose(0, 2, 1), out=a)
         a += self.mask
-        np.minimum(a, 60, out=a)
+        if a.max() > 60:
+            np.minimum(a, 60, out=a)
         np.exp(a, out=a)
-        less = 1 / np.maximum(a @ np.ones(a.shape[2], "f4"), TINY)[:, :, None]  # the weights' sum divides what they mix, here and on the way back
-        mixed = np.matmul(a, v)
+        less = 1 / np.maximum(a.reshape(-1, a.shape[2]) @ np.ones(a.shape[2], "f4"), TINY).reshape(*a.shape[:2], 1)  # the weights' sum divides what they mix, here and on the way back
+        np.matmul(a, v, out=mixed)
         mixed *= less
-        z = mixed.reshape(-1, d) @ w["out"]
-        z += w["latest"].take(inputs[:, c:].ravel(), 0)
-        z += w["bias"]
-        cells, target = np.arange(len(z)), target.ravel()
-        share = (live.ravel() / max(1, int(live.sum()))).astype("f4")
+        with_one[:, :d] = mixed.reshape(-1, d)
+        np.take(w["latest"], inputs[:, c:].ravel(), 0, out=z, mode="clip")
+        z += np.matmul(with_one, out, out=more)
+        cells = np.arange(len(z))
         picked = z[cells, target]
         if z.max() > 80:
             np.minimum(z, 80, out=z)
         np.exp(z, out=z)
         total = np.maximum(z @ np.ones(self.count, "f4"), TINY)
         loss = float(((np.log(total) - picked) * share).sum())
-        z *= (share / total)[:, None]  # from here on the gradient of the scores
-        z[cells, target] -= share
-        g = {"out": mixed.reshape(-1, d).T @ z, "bias": np.ones(len(z), "f4") @ z}
-        dm = (z @ w["out"].T).reshape(mixed.shape)
-        dm *= less
-        ds = np.matmul(dm, v.transpose(0, 2, 1))
+        z[cells, target] -= total  # share / total times this is the gradient of the scores
+        share /= total
+        np.matmul(z, out[:d].T, out=dm.reshape(-1, d))
+        dm *= less * share.reshape(less.shape)
+        with_one *= share[:, None]
+        g_out += with_one.T @ z
+        with_one[:, d] = 1
+        np.matmul(dm, v.transpose(0, 2, 1), out=ds)
         ds -= np.einsum("btd,btd->bt", dm, mixed)[:, :, None]
         ds *= a
-        dy = np.zeros_like(y)
-        dy[:, c:, :d] = np.matmul(ds, k)
-        dy[:, :, d : 2 * d] = np.matmul(ds.transpose(0, 2, 1), q)
-        dy[:, :, 2 * d :] = np.matmul(a.transpose(0, 2, 1), dm)
+        np.matmul(ds, k, out=dy[:, c:, :d])
+        np.matmul(ds.transpose(0, 2, 1), q, out=dy[:, :, d : 2 * d])
+        np.matmul(a.transpose(0, 2, 1), dm, out=dy[:, :, 2 * d :])
         flat = dy.reshape(-1, 3 * d)
-        by = x.reshape(-1, d).T @ flat
-        g["query"], g["key"], g["value"] = by[:, :d] / np.float32(math.sqrt(d)), by[:, d : 2 * d], by[:, 2 * d :]
-        dx = flat @ joined.T
-        g["place"] = dx.reshape(x.shape).sum(0)
-        g["id"] = (inputs.ravel(), dx)
-        return loss, g
+        g_joined += wide.T @ flat
+        np.matmul(flat, joined.T, out=dx.reshape(-1, d))
+        return loss
 
     def fit(self, documents: list[np.ndarray], begin: int, epochs: int = 3, batch: int = 96, rate: float = 0.01, seed: int = 9, pairs: np.ndarray | None = None) -> list[float]:
         """pairs: how often each class follows each id (ids x classes), else counted in the documents."""
@@ -181,19 +207,34 @@ class Steps:
     def take(self, w: dict[str, np.ndarray], g: dict, pace: float):
         self.taken += 1
         first, second = self.first, self.second
+        dense = []
         for name, grad in g.items():
-            if isinstance(grad, tuple):  # rows of a table
-                sort = np.argsort(grad[0], kind="stable")
-                ids = grad[0][sort]
-                starts = np.flatnonzero(np.diff(ids, prepend=-1))
-                ids = ids[starts]
-                part = np.add.reduceat(grad[1][sort], starts, axis=0)
-                second[name][ids] += part * part
-                w[name][ids] -= np.float32(3 * pace) * part / (np.sqrt(second[name][ids]) + np.float32(1e-6))
-            else:
-                first[name] = np.float32(0.9) * first[name] + np.float32(0.1) * grad
-                second[name] = np.float32(0.98) * second[name] + np.float32(0.02) * grad * grad
-                w[name] -= (pace * first[name] / (1 - 0.9**self.taken) / (np.sqrt(second[name] / (1 - 0.98**self.taken)) + 1e-8)).astype("f4")
+            if not isinstance(grad, tuple):
+                dense.append(name)
+                continue
+            # rows of a table
+            ids, rows = grad
+            few = ids.astype("u2") if len(w[name]) <= 1 << 16 else ids  # short numbers are sorted by their digits
+            sort = np.argsort(few, kind="stable")
+            ids = ids[sort]
+            starts = np.flatnonzero(np.diff(ids, prepend=-1))
+            ids = ids[starts]
+            part = np.add.reduceat(rows[sort], starts, axis=0)
+            sums = second[name][ids]
+            sums += part * part
+            second[name][ids] = sums
+            w[name][ids] -= np.float32(3 * pace) * part / (np.sqrt(sums) + np.float32(1e-6))
+        # the others side by side
+        grad, one, two = (np.concatenate([x[k].ravel() for k in dense]) for x in (g, first, second))
+        one = np.float32(0.9) * one + np.float32(0.1) * grad
+        two = np.float32(0.98) * two + np.float32(0.02) * grad * grad
+        less = (pace * one / (1 - 0.9**self.taken) / (np.sqrt(two / (1 - 0.98**self.taken)) + 1e-8)).astype("f4")
+        at = 0
+        for name in dense:
+            to = at + w[name].size
+            first[name], second[name] = one[at:to].reshape(w[name].shape), two[at:to].reshape(w[name].shape)
+            w[name] -= less[at:to].reshape(w[name].shape)
+            at = to
 
 
 @dataclass
@@ -409,36 +450,42 @@ def streams(batches, size: int):
         yield b, np.frombuffer(ids.buffers()[2], f"<u{wide}", (at[-1] - at[0]) // wide, at[0]).astype("i4"), np.diff(at) // wide
 
 
+def spelled(stream: np.ndarray, words: SpacedWords) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of texts' ids, each as its ids' bytes and the end as one of them; the place among them of each word in turn; and where in the stream each begins.
+
+    Ids that begin a word stand nowhere else, and a byte-level vocabulary spells each word in its own way.
+    """
+    wide, starts = width(words.size), np.flatnonzero(words.begins[stream])
+    ends = np.append(starts, len(stream)) * wide
+    runs = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.astype("i8")), pa.py_buffer(stream.astype(f"<u{wide}"))])
+    runs = runs.dictionary_encode()
+    return runs.dictionary.cast(pa.binary()), runs.indices.to_numpy(), starts
+
+
 def counted(docs: DataFrame, vocabulary: str, ids: DataFrame | None = None) -> DataFrame:
-    """(word binary, pair bigint, n bigint): how often a word stands in all texts of docs (pair null), and how often an id follows another, an end standing before each text (word null).
+    """(word binary, pair bigint, n bigint): how often a word (its ids' bytes, `spelled`) or the end stands in all texts of docs (pair null), and how often an id follows another, an end standing before each text (word null).
 
     pair is before * ids + id.  Summed within a batch, within a task, and then by key.
     ids: the texts of docs `encoded`, if at hand.
     """
 
-    def count_words(batches):
-        sums = Sums("word")
-        for b in arrow_slices(batches, "text"):
-            found, at, _ = words_in(b.column("text"))
-            yield from sums.add(found.cast(pa.binary()), pa.array(np.bincount(at, minlength=len(found)), pa.int64()))
-        yield from sums.out()
-
-    def count_pairs(batches):
-        words, sums = loaded(SpacedWords, vocabulary), Sums("pair")
+    def count(batches):
+        words, by_word, by_pair = loaded(SpacedWords, vocabulary), Sums("word"), Sums("pair")
+        kind = "u4" if words.size <= 1 << 16 else "i8"
         for _, stream, _ in streams(batches, words.size):
-            stream = np.concatenate([[words.end], stream])
-            pairs = pc.value_counts(pa.array(stream[:-1].astype("i8") * words.size + stream[1:]))
-            yield from sums.add(pairs.field("values"), pairs.field("counts"))
-        yield from sums.out()
+            found, at, _ = spelled(stream, words)
+            yield from by_word.add(found, pa.array(np.bincount(at, minlength=len(found)), pa.int64()))
+            before = np.concatenate([[words.end], stream[:-1]]).astype(kind)
+            pairs, n = np.unique(before * np.array(words.size, kind) + stream.astype(kind), return_counts=True)
+            yield from by_pair.add(pa.array(pairs.astype("i8")), pa.array(n, pa.int64()))
+        yield from by_word.out()
+        yield from by_pair.out()
 
-    texts = docs.select("text")
-    ids = encoded(texts, vocabulary) if ids is None else ids.select("ids")
-    kinds = "word binary, pair bigint, n bigint"
-    rows = texts.mapInArrow(tidied(count_words), kinds).union(ids.mapInArrow(tidied(count_pairs), kinds))
-    return rows.groupBy("word", "pair").agg(F.sum("n").alias("n"))
+    ids = encoded(docs.select("text"), vocabulary) if ids is None else ids.select("ids")
+    return ids.mapInArrow(tidied(count), "word binary, pair bigint, n bigint").groupBy("word", "pair").agg(F.sum("n").alias("n"))
 
 
-def frequent(words: DataFrame, most: int) -> dict[str, float]:
+def frequent(words: DataFrame, most: int) -> dict[bytes, float]:
     """log10(n + 1) of the words more frequent than some count, chosen so that they are `most` at most; only these reach the driver."""
     level = F.floor(F.log2("n") * 16).cast("int")
     sizes = sorted(((r["level"], r["k"]) for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect()), reverse=True)
@@ -450,7 +497,7 @@ def frequent(words: DataFrame, most: int) -> dict[str, float]:
     if least is None:
         return {}
     got = words.where(level >= least).toArrow()
-    return dict(zip(got.column("word").cast(pa.string()).to_pylist(), np.log10(got.column("n").to_numpy() + 1.0).tolist()))
+    return dict(zip(got.column("word").to_pylist(), np.log10(got.column("n").to_numpy() + 1.0).tolist()))
 
 
 def picked(pairs: DataFrame, choose) -> tuple[np.ndarray, np.ndarray]:
@@ -607,25 +654,27 @@ def score_texts(docs: DataFrame, vocabulary: str, folds: int = 7, held: int = 2,
     table = cut(counted(training, vocabulary, learnt))
     words = table.where("word IS NOT NULL").select("word", "n")
     sums = words.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
-    n, v = (sums["n"] or 0) + documents, sums["v"] + (documents > 0)
+    n, v = sums["n"] or 0, sums["v"]
     top = frequent(words, common_words)
     scorer = train(training, table.where("pair IS NOT NULL").select("pair", "n"), documents, vocabulary, sample, ids=learnt)
     shared, common = spark.sparkContext.broadcast(scorer), spark.sparkContext.broadcast(top)
-    floor, end_log = math.log10(n + v + 1), math.log10(documents + 1)
+    floor = math.log10(n + v + 1)
 
     def run(batches):
-        known = common.value.get
-        for b in arrow_slices(batches, "text", 4 << 20):
-            found, at, count = words_in(b.column("text"))
+        known, lm, words = common.value.get, shared.value, loaded(SpacedWords, vocabulary)
+        for b, stream, sizes in streams(batches, words.size):
+            found, at, starts = spelled(stream, words)
             listed = strings(found)
-            n_rows, text = b.num_rows, np.repeat(np.arange(b.num_rows), count)
+            n_rows, text = b.num_rows, np.repeat(np.arange(b.num_rows), sizes)[starts]
+            count = np.bincount(text, minlength=n_rows)
             value = np.fromiter((known(w, -1.0) for w in listed), "f8", len(listed))[at]
             rare = value < 0
-            base = np.bincount(text, np.where(rare, 0, value), n_rows) + end_log
-            found_here = count - np.bincount(text[rare], minlength=n_rows) + (documents > 0)
+            base = np.bincount(text, np.where(rare, 0, value), n_rows)
+            found_here = count - np.bincount(text[rare], minlength=n_rows)
+            scores = lm.scores(np.split(stream, np.cumsum(sizes)[:-1]))
             mark = b.column("mark")
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), mark, b.column("held_out"), pa.array([b"\x00" + m.tobytes() for m in mark.to_numpy()], pa.binary()), pa.nulls(n_rows, pa.int64()), pa.array(count + 1, pa.int64()), pa.array(found_here, pa.int64()), pa.array(base)],
+                [b.column("doc_id"), mark, b.column("held_out"), pa.array([b"\x00" + m.tobytes() for m in mark.to_numpy()], pa.binary()), pa.nulls(n_rows, pa.int64()), pa.array(count, pa.int64()), pa.array(found_here, pa.int64()), pa.array(base), pa.array(scores)],
                 names=NAMES,
             )
             row, times = np.unique(text[rare] * max(1, len(listed)) + at[rare], return_counts=True)
@@ -633,20 +682,14 @@ def score_texts(docs: DataFrame, vocabulary: str, folds: int = 7, held: int = 2,
                 of, word = pa.array(row // len(listed)), pa.array(row % len(listed))
                 empty = lambda kind: pa.nulls(len(row), kind)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(of), mark.take(of), b.column("held_out").take(of), found.cast(pa.binary()).take(word), pa.array(times, pa.int64()), empty(pa.int64()), empty(pa.int64()), empty(pa.float64())],
+                    [b.column("doc_id").take(of), mark.take(of), b.column("held_out").take(of), found.take(word), pa.array(times, pa.int64()), empty(pa.int64()), empty(pa.int64()), empty(pa.float64()), empty(pa.float64())],
                     names=NAMES,
                 )
 
-    def score(batches):
-        lm = shared.value
-        for b, stream, sizes in streams(batches, len(lm.model.classes)):
-            scores = lm.scores(np.split(stream, np.cumsum(sizes)[:-1]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), b.column("held_out"), pa.array(scores)], names=[*NAMES[:3], "score"])
-
-    parts = marked.withColumn("mark", F.xxhash64("text")).mapInArrow(tidied(run), "doc_id bigint, mark bigint, held_out boolean, word binary, times bigint, n_tokens bigint, known bigint, base double")
+    # (a row's own key has an odd number of bytes, a word's an even one)
+    parts = ids.mapInArrow(tidied(run), "doc_id bigint, mark bigint, held_out boolean, word binary, times bigint, n_tokens bigint, known bigint, base double, score double")
     matched = parts.join(words, "word", "left").withColumn("hit", F.col("times").isNotNull() & F.col("n").isNotNull())
-    scored = ids.mapInArrow(tidied(score), "doc_id bigint, mark bigint, held_out boolean, score double")
-    found = matched.unionByName(scored, allowMissingColumns=True).groupBy("doc_id", "mark", "held_out").agg(
+    found = matched.groupBy("doc_id", "mark", "held_out").agg(
         F.count("n_tokens").alias("copies"),
         F.max("n_tokens").alias("n_tokens"),
         (F.sum("known") + F.coalesce(F.sum(F.when(F.col("hit"), F.col("times"))), F.lit(0))).alias("known"),
@@ -660,4 +703,4 @@ def score_texts(docs: DataFrame, vocabulary: str, folds: int = 7, held: int = 2,
     ).drop("_copy")
 
 
-NAMES = ["doc_id", "mark", "held_out", "word", "times", "n_tokens", "known", "base"]
+NAMES = ["doc_id", "mark", "held_out", "word", "times", "n_tokens", "known", "base", "score"]

@@ -407,6 +407,36 @@ def test_steps_from_far_out_weights_stay_numbers():
         model.w[name] = held
 
 
+def test_a_step_by_parts_is_that_of_the_whole_batch():
+    rng = np.random.default_rng(15)
+    model = lm.CausalModel(np.arange(40) % 9, 9, lm.Shape(2, 3, 4))
+    model.w["bias"] = rng.normal(size=9).astype("f4")
+    inputs, target, live = lm.windows([rng.integers(0, 40, n).astype("i4") for n in (7, 11, 1, 20)], model.shape, 39)
+    target = model.classes[target]
+    loss, whole = model.step(inputs, target, live, most=100)
+    for most in (1, 3, 5):
+        again, parts = model.step(inputs, target, live, most=most)
+        assert again == pytest.approx(loss, rel=1e-5)
+        for k, g in whole.items():
+            assert np.allclose(*((x[1] if k == "id" else x) for x in (g, parts[k])), rtol=1e-4, atol=1e-6), k
+
+
+def test_words_are_told_apart_by_their_ids():
+    own = SpacedWords(BYTE)
+    odd = ["don't", "don'", "'t", "a.", "a", ".", "<|endoftext|>", "x\u00a0y", "\u00a0", "\u2003z", "\x1c", "\x00", "é", "e\u0301", "日本語", "ΣΑΣ", "\U0001f600!", "1234567", "a" * 3000, "--", "ab", "abc"]
+    given = [" ".join(odd), None, "", " a  a\tab ", " ".join(odd[::-1])]
+    found, at, count = words_in(pa.array(given, pa.string()))
+    stream, sizes = own.stream(found.to_pylist(), at, count)
+    keys, place, starts = lm.spelled(stream, own)
+    keys, text = keys.to_pylist(), np.repeat(np.arange(len(given)), sizes)[starts]
+    assert len(set(keys)) == len(keys) == len(found) + 1 and np.bincount(text).tolist() == (count + 1).tolist()
+    end = np.array([own.end], "<u2").tobytes()
+    got = [[keys[x] for x in place[text == k]] for k in range(len(given))]
+    assert all(g[-1] == end and end not in g[:-1] for g in got)
+    same = dict(zip([k for g in got for k in g[:-1]], found.take(pa.array(at)).to_pylist()))
+    assert [same[k] for g in got for k in g[:-1]] == found.take(pa.array(at)).to_pylist() and len(same) == len(found)
+
+
 def test_texts_beyond_the_first_ones_teach_the_model(spark):
     rows = [(i, t) for i, t in enumerate(texts(13, 200, 30))]
     docs = docs_of(spark, rows)
