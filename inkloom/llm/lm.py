@@ -63,29 +63,36 @@ class CausalModel:
         self.mask = np.where(j <= i + shape.context, 0, -1e9).astype("f4")
         self.tables = self.steps = self.room = None
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """What leads from a vector to what meets other vectors, and from mixed vectors, with a one after each, to class scores: products of two weights each."""
+        w = self.w
+        return w["query"] @ w["key"].T / np.float32(math.sqrt(self.shape.size)), np.concatenate([w["value"] @ w["out"], w["bias"][None]])
+
     def prepare(self) -> CausalModel:
-        """Tables by id and by place of what the projections give."""
+        """Tables by id and by place of what meets others, of the vectors and of ones, and what leads to class scores."""
         d = self.shape.size
-        joined = np.concatenate([self.w["query"] / math.sqrt(d), self.w["key"], self.w["value"], np.zeros((d, 1))], 1).astype("f4")
-        place = self.w["place"] @ joined
+        meet, out = self.joined()
+        wide = np.concatenate([meet, np.eye(d), np.zeros((d, 1))], 1).astype("f4")
+        place = self.w["place"] @ wide
         place[:, -1] = 1  # the weights' sum comes with what they mix
-        self.tables = (self.w["id"] @ joined, place, self.w["latest"] + self.w["bias"])
+        self.tables = (self.w["id"] @ wide, place, out)
         self.ones = np.ones(self.count, "f4")
         return self
 
     def class_logs(self, inputs: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of the target classes (windows x scored); inputs: windows x window."""
         d, c = self.shape.size, self.shape.context
-        x = self.tables[0].take(inputs, 0)
+        x = self.tables[0].take(inputs, 0, mode="clip")
         x += self.tables[1]
         a = np.matmul(x[:, c:, :d], x[:, :, d : 2 * d].transpose(0, 2, 1))
         a += self.mask
-        np.minimum(a, 60, out=a)
+        if a.max() > 60:
+            np.minimum(a, 60, out=a)
         np.exp(a, out=a)
-        mixed = np.matmul(a, x[:, :, 2 * d :])
-        mixed[:, :, :d] /= mixed[:, :, d:]
-        z = mixed[:, :, :d].reshape(-1, d) @ self.w["out"]
-        z += self.tables[2].take(inputs[:, c:].ravel(), 0)
+        mixed = np.matmul(a, x[:, :, d:])
+        mixed *= 1 / mixed[:, :, d:]  # whose last column becomes one, for the bias
+        z = mixed.reshape(-1, d + 1) @ self.tables[2]
+        z += self.w["latest"].take(inputs[:, c:].ravel(), 0, mode="clip")
         picked = z[np.arange(len(z)), target.ravel()]
         np.exp(z, out=z)
         return (picked - np.log(z @ self.ones)).reshape(target.shape)
@@ -96,16 +103,15 @@ class CausalModel:
         `most` windows are worked on at a time, in arrays that are used again, as these fit a processor's cache.
         """
         d, w, root = self.shape.size, self.w, np.float32(math.sqrt(self.shape.size))
-        joined = np.concatenate([w["query"] / root, w["key"], w["value"]], 1)
-        out = np.concatenate([w["out"], w["bias"][None]])  # what is mixed has a column of ones for the bias
+        meet, out = self.joined()
         share = (live / max(1, int(live.sum()))).astype("f4")
         dx = np.empty((*inputs.shape, d), "f4")
-        loss, g_out, g_joined, g_place = 0.0, np.zeros_like(out), np.zeros_like(joined), np.zeros_like(w["place"])
+        loss, g_meet, g_out, g_place = 0.0, np.zeros_like(meet), np.zeros_like(out), np.zeros_like(w["place"])
         for k in range(0, len(inputs), most):
             part = slice(k, k + most)
-            loss += self._block(inputs[part], target[part].ravel(), share[part].ravel(), joined, out, dx[part], g_out, g_joined)
+            loss += self._block(inputs[part], target[part].ravel(), share[part].ravel(), meet, out, dx[part], g_meet, g_out)
             g_place += dx[part].sum(0)
-        g = {"out": g_out[:d], "bias": g_out[d], "query": g_joined[:, :d] / root, "key": g_joined[:, d : 2 * d], "value": g_joined[:, 2 * d :], "place": g_place}
+        g = {"out": w["value"].T @ g_out[:d], "bias": g_out[d], "query": g_meet @ w["key"] / root, "key": g_meet.T @ w["query"] / root, "value": g_out[:d] @ w["out"].T, "place": g_place}
         g["id"] = (inputs.ravel(), dx.reshape(-1, d))
         return loss, g
 
@@ -113,54 +119,53 @@ class CausalModel:
         """Arrays for the values and gradients of so many windows, given anew when there are more of these than before."""
         if self.room is None or len(self.room[0]) < windows:
             shape, cells = self.shape, self.shape.scored * windows
-            x, y, a, mixed = (windows, shape.window, shape.size), (windows, shape.window, 3 * shape.size), (windows, shape.scored, shape.window), (windows, shape.scored, shape.size)
-            self.room = [np.zeros(s, "f4") for s in (x, y, y, a, a, mixed, mixed)] + [np.ones((cells, shape.size + 1), "f4"), *[np.empty((cells, self.count), "f4") for _ in range(2)]]
+            x, a, mixed = (windows, shape.window, shape.size), (windows, shape.scored, shape.window), (windows, shape.scored, shape.size)
+            self.room = [np.zeros(s, "f4") for s in (x, x, x, x, a, a, mixed, mixed)] + [np.ones((cells, shape.size + 1), "f4"), *[np.empty((cells, self.count), "f4") for _ in range(2)]]
         cells = self.shape.scored * windows
-        return [r[:windows] for r in self.room[:7]] + [r[:cells] for r in self.room[7:]]
+        return [r[:windows] for r in self.room[:8]] + [r[:cells] for r in self.room[8:]]
 
-    def _block(self, inputs, target, share, joined, out, dx, g_out, g_joined) -> float:
-        """The loss of some windows; dx becomes the gradients of their vectors, those of joined and out are added to theirs."""
+    def _block(self, inputs, target, share, meet, out, dx, g_meet, g_out) -> float:
+        """The loss of some windows; dx becomes the gradients of their vectors, those of meet and out (`joined`) are added to theirs."""
         d, c, w = self.shape.size, self.shape.context, self.w
-        x, y, dy, a, ds, mixed, dm, with_one, z, more = self._room(len(inputs))
+        x, y, dy, back, a, ds, mixed, dm, with_one, z, more = self._room(len(inputs))
         np.take(w["id"], inputs, 0, out=x, mode="clip")
         x += w["place"]
-        wide = x.reshape(-1, d)
-        np.matmul(wide, joined, out=y.reshape(-1, 3 * d))
-        q, k, v = y[:, c:, :d], y[:, :, d : 2 * d], y[:, :, 2 * d :]
-        np.matmul(q, k.transpose(0, 2, 1), out=a)
+        wide, q = x.reshape(-1, d), y[:, c:]
+        np.matmul(wide, meet, out=y.reshape(-1, d))
+        np.matmul(q, x.transpose(0, 2, 1), out=a)
         a += self.mask
         if a.max() > 60:
             np.minimum(a, 60, out=a)
         np.exp(a, out=a)
         less = 1 / np.maximum(a.reshape(-1, a.shape[2]) @ np.ones(a.shape[2], "f4"), TINY).reshape(*a.shape[:2], 1)  # the weights' sum divides what they mix, here and on the way back
-        np.matmul(a, v, out=mixed)
+        np.matmul(a, x, out=mixed)
         mixed *= less
         with_one[:, :d] = mixed.reshape(-1, d)
         np.take(w["latest"], inputs[:, c:].ravel(), 0, out=z, mode="clip")
         z += np.matmul(with_one, out, out=more)
+        if z.max() > 60:
+            z -= z.max(1, keepdims=True)
         cells = np.arange(len(z))
         picked = z[cells, target]
-        if z.max() > 80:
-            np.minimum(z, 80, out=z)
         np.exp(z, out=z)
         total = np.maximum(z @ np.ones(self.count, "f4"), TINY)
         loss = float(((np.log(total) - picked) * share).sum())
         z[cells, target] -= total  # share / total times this is the gradient of the scores
-        share /= total
+        share = share / total
         np.matmul(z, out[:d].T, out=dm.reshape(-1, d))
         dm *= less * share.reshape(less.shape)
         with_one *= share[:, None]
         g_out += with_one.T @ z
         with_one[:, d] = 1
-        np.matmul(dm, v.transpose(0, 2, 1), out=ds)
+        np.matmul(dm, x.transpose(0, 2, 1), out=ds)
         ds -= np.einsum("btd,btd->bt", dm, mixed)[:, :, None]
         ds *= a
-        np.matmul(ds, k, out=dy[:, c:, :d])
-        np.matmul(ds.transpose(0, 2, 1), q, out=dy[:, :, d : 2 * d])
-        np.matmul(a.transpose(0, 2, 1), dm, out=dy[:, :, 2 * d :])
-        flat = dy.reshape(-1, 3 * d)
-        g_joined += wide.T @ flat
-        np.matmul(flat, joined.T, out=dx.reshape(-1, d))
+        np.matmul(ds.transpose(0, 2, 1), q, out=dx)
+        dx += np.matmul(a.transpose(0, 2, 1), dm, out=back)
+        np.matmul(ds, x, out=dy[:, c:])
+        flat = dy.reshape(-1, d)
+        g_meet += wide.T @ flat
+        dx += np.matmul(flat, meet.T, out=back.reshape(-1, d)).reshape(dx.shape)
         return loss
 
     def fit(self, documents: list[np.ndarray], begin: int, epochs: int = 3, batch: int = 96, rate: float = 0.01, seed: int = 9, pairs: np.ndarray | None = None) -> list[float]:
@@ -216,14 +221,17 @@ class Steps:
             ids, rows = grad
             few = ids.astype("u2") if len(w[name]) <= 1 << 16 else ids  # short numbers are sorted by their digits
             sort = np.argsort(few, kind="stable")
-            ids = ids[sort]
-            starts = np.flatnonzero(np.diff(ids, prepend=-1))
-            ids = ids[starts]
-            part = np.add.reduceat(rows[sort], starts, axis=0)
-            sums = second[name][ids]
+            ids = ids.take(sort)
+            starts = np.append(0, np.flatnonzero(ids[1:] != ids[:-1]) + 1)
+            ids, rows = ids.take(starts), rows.take(sort, 0)
+            two_by_two = rows.view("c8") if rows.shape[1] % 2 == 0 else rows  # sums of complex numbers are those of their parts, in half the additions
+            part = np.add.reduceat(two_by_two, starts, axis=0).view("f4")
+            sums = second[name].take(ids, 0)
             sums += part * part
             second[name][ids] = sums
-            w[name][ids] -= np.float32(3 * pace) * part / (np.sqrt(sums) + np.float32(1e-6))
+            part *= np.float32(3 * pace)
+            part /= np.sqrt(sums) + np.float32(1e-6)
+            w[name][ids] = w[name].take(ids, 0) - part
         # the others side by side
         grad, one, two = (np.concatenate([x[k].ravel() for k in dense]) for x in (g, first, second))
         one = np.float32(0.9) * one + np.float32(0.1) * grad
@@ -374,7 +382,7 @@ class Scorer:
     within: Within
     end: int
 
-    def scores(self, documents: list[np.ndarray], most: int = 256) -> np.ndarray:
+    def scores(self, documents: list[np.ndarray], most: int = 128) -> np.ndarray:
         """log10 probability of every document's ids."""
         out = np.zeros(len(documents))
         shape = self.model.shape
@@ -485,19 +493,20 @@ def counted(docs: DataFrame, vocabulary: str, ids: DataFrame | None = None) -> D
     return ids.mapInArrow(tidied(count), "word binary, pair bigint, n bigint").groupBy("word", "pair").agg(F.sum("n").alias("n"))
 
 
-def frequent(words: DataFrame, most: int) -> dict[bytes, float]:
-    """log10(n + 1) of the words more frequent than some count, chosen so that they are `most` at most; only these reach the driver."""
+def frequent(words: DataFrame, most: int) -> tuple[dict[bytes, float], int, int]:
+    """log10(n + 1) of the words more frequent than some count, chosen so that they are `most` at most, of which only these reach the driver; how often all words stand; and how many there are."""
     level = F.floor(F.log2("n") * 16).cast("int")
-    sizes = sorted(((r["level"], r["k"]) for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    sizes = sorted(((r["level"], r["k"], r["n"]) for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()), reverse=True)
+    n, v = sum(x for _, _, x in sizes), sum(k for _, k, _ in sizes)
     least, held = None, 0
-    for at, k in sizes:
+    for at, k, _ in sizes:
         if held + k > most:
             break
         least, held = at, held + k
     if least is None:
-        return {}
+        return {}, n, v
     got = words.where(level >= least).toArrow()
-    return dict(zip(got.column("word").to_pylist(), np.log10(got.column("n").to_numpy() + 1.0).tolist()))
+    return dict(zip(got.column("word").to_pylist(), np.log10(got.column("n").to_numpy() + 1.0).tolist())), n, v
 
 
 def picked(pairs: DataFrame, choose) -> tuple[np.ndarray, np.ndarray]:
@@ -653,9 +662,7 @@ def score_texts(docs: DataFrame, vocabulary: str, folds: int = 7, held: int = 2,
     learnt = ids.where(~F.col("held_out"))
     table = cut(counted(training, vocabulary, learnt))
     words = table.where("word IS NOT NULL").select("word", "n")
-    sums = words.agg(F.count("*").alias("v"), F.sum("n").alias("n")).first()
-    n, v = sums["n"] or 0, sums["v"]
-    top = frequent(words, common_words)
+    top, n, v = frequent(words, common_words)
     scorer = train(training, table.where("pair IS NOT NULL").select("pair", "n"), documents, vocabulary, sample, ids=learnt)
     shared, common = spark.sparkContext.broadcast(scorer), spark.sparkContext.broadcast(top)
     floor = math.log10(n + v + 1)
