@@ -407,6 +407,14 @@ def test_steps_from_far_out_weights_stay_numbers():
         model.w[name] = held
 
 
+def test_the_loss_of_far_out_scores_is_exact():
+    model = lm.CausalModel(np.arange(8) % 4, 4, lm.Shape(2, 3, 4))
+    model.w["out"][:] = 0
+    model.w["bias"] = np.array([0, 90, 200, 300], "f4")
+    inputs, target, live = lm.windows([np.arange(8).astype("i4")], model.shape, 7)
+    assert model.step(inputs, model.classes[target], live)[0] == pytest.approx((300 + 210 + 100 + 0) / 4, rel=1e-5)
+
+
 def test_a_step_by_parts_is_that_of_the_whole_batch():
     rng = np.random.default_rng(15)
     model = lm.CausalModel(np.arange(40) % 9, 9, lm.Shape(2, 3, 4))
