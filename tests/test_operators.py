@@ -131,6 +131,23 @@ def test_html_facts(spark):
     assert values(pages.html_blocks(df), "block", "text") == [(0, "T"), (1, "x"), (2, "y zl")]
 
 
+def test_a_page_is_read_beyond_odd_sections_and_long_numbers(spark):
+    odd = ["<![foo[x]]>", "<![ if x]>", "<![>", f"&#{'9' * 5000};", f'<i title="&#{"9" * 5000};">', f"&#{'0' * 5000};"]
+    df = spark.createDataFrame([(i, f'<body>{x}\n<h1>T</h1><a href="u">k</a><main><p>&#{"0" * 5000}65;') for i, x in enumerate(odd)], "page_id int, html string")
+    want = [(i, 2, v) for i in range(len(odd)) for v in ("T", "u")]
+    assert sorted((r["page_id"], r["line"], r["value"]) for r in pages.html_facts(df).where("kind <> 'body'").collect()) == want
+    assert values(pages.html_blocks(df).where("main"), "page_id", "text") == [(i, "A") for i in range(len(odd))]
+
+
+def test_a_fault_in_a_page_is_raised(monkeypatch):
+    def fault(self, data):
+        raise AssertionError(data)
+
+    monkeypatch.setattr(pages.Facts, "handle_data", fault)
+    with pytest.raises(AssertionError):
+        pages.parsed('<a href="u">x</a>')
+
+
 def test_archives(spark, tmp_path):
     epub = tmp_path / "b.epub"
     with zipfile.ZipFile(epub, "w") as z:
